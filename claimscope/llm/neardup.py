@@ -6,7 +6,7 @@
    marked, or larger than ``bucket_limit`` in all, hands over its remaining members as well.
 3. Members of such buckets are joined among themselves on the rarest part of their sets (prefix filter with counts
    over all members), which finds every pair at the threshold.
-4. Signatures of candidates are compared 16 values at a time; a pair is dropped as soon as the posterior
+4. Sketches of the candidates' signatures are compared 16 values at a time; a pair is dropped as soon as the posterior
    probability (uniform prior) that it reaches the threshold falls under ``miss``. Survivors are verified on their sets.
 
 A pair exactly at similarity 0.5 shares none of 28 bands with probability (1 - 0.25)^28 = 0.03 %.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from claimscope.llm.arrow import list_array
 from claimscope.llm.formatcopies import text_groups
 from claimscope.llm.textform import words
-from claimscope.runtime import cut
+from claimscope.runtime import cut, stored
 
 SIGNATURE, BATCH = 64, 16
 
@@ -170,44 +170,50 @@ def _candidates(limit: int):
     return run
 
 
-def _features(like: Likeness):
+def _sketches(like: Likeness):
+    """(seq, sketch): the lowest byte of each signature value, enough to compare by."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, flat, offsets = _sets(b, like.words)
             if len(rows):
-                sig = np.ascontiguousarray(signatures(flat, offsets[:-1]).T)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(b.column(0).to_numpy()[rows]),
-                        pa.array([s.tobytes() for s in sig], pa.binary()),
-                        list_array(flat.view(np.int64), offsets.astype(np.int32)),
-                    ],
-                    ["seq", "signature", "shingles"],
-                )
+                sig = np.ascontiguousarray(signatures(flat, offsets[:-1]).astype(np.uint8).T)
+                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIGNATURE), len(rows), [None, pa.py_buffer(sig)])
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[rows]), sketch.cast(pa.binary())], ["seq", "sketch"])
+
+    return run
+
+
+def _shingle_sets(like: Likeness):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, flat, offsets = _sets(b, like.words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b.column(0).to_numpy()[rows]), list_array(flat.view(np.int64), offsets.astype(np.int32))], ["seq", "shingles"]
+            )
 
     return run
 
 
-def _verified(like: Likeness):
-    least = [(n, least_matches(n, like.threshold, like.miss)) for n in range(BATCH, SIGNATURE + 1, BATCH)]
+def _plausible(like: Likeness):
+    """Of pairs with both sketches, those whose posterior chance of reaching the threshold stays at miss or above.
+
+    Bytes of different values are equal once in 256, which raises the threshold that matches are held against.
+    """
+    threshold = like.threshold + (1 - like.threshold) / 256
+    least = [(n, least_matches(n, threshold, like.miss)) for n in range(BATCH, SIGNATURE + 1, BATCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, SIGNATURE) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for i in (2, 3))
             alive, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
             for n, m in least:
                 matches = matches + (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
                 keep = matches >= m
                 alive, matches, done = alive[keep], matches[keep], n
-            b = b.take(pa.array(alive))
-            likeness = [
-                (n := len(s.intersection(t))) / (len(s) + len(t) - n)
-                for s, t in zip(map(set, b.column(4).to_pylist()), map(set, b.column(5).to_pylist()))
-            ]
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(likeness, pa.float64())], ["a", "b", "similarity"])
-            yield out.filter(pa.array([v >= like.threshold for v in likeness], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(alive)) for c in b.columns[:2]], ["a", "b"])
 
     return run
 
@@ -224,24 +230,37 @@ def _rare_pairs(sets: DataFrame, like: Likeness) -> DataFrame:
     return p.join(q, near).select(F.col("p.seq").alias("a"), F.col("q.seq").alias("b"))
 
 
+def _sides(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """The pairs with a column of both their members."""
+    for c in "ab":
+        pairs = pairs.join(of.select(F.col("seq").alias(c), F.col(column).alias(f"{column}_{c}")), c)
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
+
 def similar_pairs(texts: DataFrame, like: Likeness = Likeness(), key: str = "seq", text: str = "text") -> DataFrame:
     """(a, b, similarity), a < b: texts whose shingle sets have a Jaccard similarity of the threshold or more.
 
     Texts should be representatives of their exact or format-free copies. Nulls, and texts with fewer words than a
-    shingle, have an empty set and no pair. A repeated key is one text.
+    shingle, have an empty set and no pair. Of a repeated key any one row counts.
     """
     rows = texts.select(F.col(key).cast("long").alias("seq"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = stored(rows.dropDuplicates(["seq"]))
     bands = rows.mapInArrow(_bands(like), "bucket long, kind byte, seq long")
     spread = bands.repartition(F.col("bucket")).sortWithinPartitions("bucket", "seq")
     found = cut(spread.mapInArrow(_candidates(like.bucket_limit), "a long, b long").distinct())
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        return rows.join(wanted, "seq", "left_semi").mapInArrow(_shingle_sets(like), "seq long, shingles array<long>")
+
     pairs, hot = found.where("b IS NOT NULL"), found.where("b IS NULL").select(F.col("a").alias("seq"))
-    involved = found.select(F.explode(F.array("a", "b")).alias("seq")).where("seq IS NOT NULL").distinct()
-    features = cut(rows.join(involved, "seq", "left_semi").dropDuplicates(["seq"]).mapInArrow(_features(like), "seq long, signature binary, shingles array<long>"))
-    rare = _rare_pairs(features.join(hot, "seq", "left_semi").select("seq", "shingles"), like)
-    candidates = pairs.union(rare).distinct()
-    sides = [features.select(F.col("seq").alias(c), F.col("signature").alias(f"sig_{c}"), F.col("shingles").alias(f"set_{c}")) for c in "ab"]
-    both = candidates.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b")
-    return both.mapInArrow(_verified(like), "a long, b long, similarity double")
+    if not hot.isEmpty():
+        pairs = pairs.union(_rare_pairs(cut(sets(hot)), like)).distinct()
+    sketches = rows.mapInArrow(_sketches(like), "seq long, sketch binary")
+    likely = cut(_sides(pairs, sketches, "sketch").mapInArrow(_plausible(like), "a long, b long"))
+    both = _sides(likely, sets(likely.select(F.explode(F.array("a", "b")).alias("seq")).distinct()), "shingles")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    similarity = common / (F.size("shingles_a") + F.size("shingles_b") - common)
+    return both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= like.threshold)
 
 
 def representatives(texts: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
