@@ -1,178 +1,182 @@
 """Evaluation texts inside training texts (problem 8): a distributed positional inverted index.
 
-The items are cut into windows of ``run`` successive words. Terms of the items are counted over the whole corpus; of each
-window the ``anchors`` rarest places are looked up. The index holds the postings (term, document, position) of these
-terms over all documents, is joined with the windows' terms, and each posting is moved back by its place in the window.
-A window whose lists all give the same start (phrase), or starts that differ by a few words (proximity), is a match;
-phrases are then compared with the document word by word.
+The index is partitioned by document: a shard holds the postings (term, position) of a run of documents as sorted arrays,
+one row a shard, and is stored in the shared folder, so it can be searched again with other items. A search takes each
+item's windows of ``run`` successive words to every shard: it starts from the shortest list of a window's terms, moves
+its positions back by the term's place, and keeps the starts that the other lists, next rarest first, agree with. What
+all lists agree with is an exact phrase; agreement within a few words is a proximity match. No postings are shuffled.
+
+Items are sent to the tasks in blocks of bounded size, as many blocks as it takes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from claimscope.llm.textform import words
-from claimscope.runtime import cut
+from claimscope.runtime import shared_dir
 
 RUN, ANCHORS = 10, 3
-#: Most terms that are sent to the tasks to thin out postings at the source; with more, the join alone does it.
-SENT_TERMS = 1_000_000
+#: Tokens of a shard, and documents at most; windows of a block of items.
+SHARD_TOKENS, SHARD_DOCS, BLOCK = 1 << 20, 1 << 16, 200_000
+
+_SHARD = pa.schema([("docs", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.int64())), ("term_starts", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
 
 
 def _term(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
-def _windows(run: int):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], []]
-            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = [_term(x) for x in words(text)]
-                for i in range(len(w) - run + 1):
-                    for c, v in zip(out, (item, i, w[i : i + run])):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], ["item", "win", "terms"]
-            )
-
-    return make
-
-
-def _counts(wanted: set[int] | None):
-    """Per batch, how often each wanted term occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        for b in batches:
-            n: Counter = Counter()
-            for t in b.column(1).to_pylist():
-                n.update(words(t))
-            kept = [(names.get(w) or names.setdefault(w, _term(w)), c) for w, c in n.items()]
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names: dict[str, int] = {}
+    docs: list[int] = []
+    starts: list[int] = []
+    tokens: list[int] = []
+
+    def full() -> pa.RecordBatch:
+        t = np.array(tokens, np.int64)
+        order = np.argsort(t, kind="stable").astype(np.int32)
+        terms, at = np.unique(t[order], return_index=True)
+        row = [docs, starts, terms, at.astype(np.int32), order]
+        return pa.RecordBatch.from_arrays([pa.array([r], f.type) for r, f in zip(row, _SHARD)], schema=_SHARD)
+
+    for b in batches:
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            docs.append(doc), starts.append(len(tokens))
+            for w in words(text):
+                k = names.get(w)
+                if k is None:
+                    k = names[w] = _term(w)
+                tokens.append(k)
             if len(names) > 500_000:
-                names.clear()
-            kept = [k for k in kept if wanted is None or k[0] in wanted]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([c for _, c in kept], pa.int64())], ["term", "n"])
+                names = {}
+            if len(tokens) >= SHARD_TOKENS or len(docs) >= SHARD_DOCS:
+                yield full()
+                docs, starts, tokens = [], [], []
+    if docs:
+        yield full()
 
-    return run
 
+def _search(items: np.ndarray, wins: np.ndarray, windows: np.ndarray, slop: int | None, anchors: int):
+    """items, wins: of each window; windows: its terms, one row a window. slop None: whole phrases."""
+    run = windows.shape[1]
+    vocabulary, index = np.unique(windows, return_inverse=True)
+    index = index.reshape(windows.shape)
 
-def _postings(wanted: set[int] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}  # of words met, the term if wanted, else 0
-        for b in batches:
-            terms, docs, places = [], [], []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for i, w in enumerate(words(t)):
-                    k = names.get(w)
-                    if k is None:
-                        k = _term(w)
-                        names[w] = k = k if wanted is None or k in wanted else 0
-                    if k:
-                        terms.append(k), docs.append(doc), places.append(i)
-                if len(names) > 500_000:
-                    names.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32())], ["term", "doc", "pos"])
-
-    return run
-
-
-def _confirmed(run: int):
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for doc, text, found in zip(*(c.to_pylist() for c in b.columns)):
-                w = [_term(x) for x in words(text)]
-                for f in found:
-                    if w[f["start"] : f["start"] + run] == f["terms"]:
-                        for c, v in zip(out, (doc, f["item"], f["win"], f["start"])):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc", "item", "win", "start"])
-
-    return check
-
-
-def _sent(terms: DataFrame) -> set[int] | None:
-    """The terms for the tasks, if they are few enough."""
-    if terms.limit(SENT_TERMS + 1).count() > SENT_TERMS:
-        return None
-    return {r[0] for r in terms.toLocalIterator()}
+            for i in range(b.num_rows):
+                docs, doc_starts, terms, term_starts, positions = (np.asarray(c[i].values) for c in b.columns)
+                if not len(terms):
+                    continue
+                place = np.minimum(np.searchsorted(terms, vocabulary), len(terms) - 1)
+                known = terms[place] == vocabulary
+                ends = np.append(term_starts, len(positions))
+                lo = np.where(known, ends[place], 0).astype(np.int64)
+                count = np.where(known, ends[place + 1] - lo, 0)
+                # keys order postings by (term, position), so one binary search looks a posting up
+                keys = (np.repeat(np.arange(len(terms), dtype=np.int64), np.diff(ends)) << 32) | positions
+                use = np.flatnonzero((count[index] > 0).all(axis=1))
+                if not len(use):
+                    continue
+                rarest = np.argsort(count[index[use]], axis=1, kind="stable")
+                first = index[use, rarest[:, 0]]
+                n = count[first]
+                win = np.repeat(np.arange(len(use)), n)
+                at = np.repeat(lo[first] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                start = positions[at].astype(np.int64) - rarest[win, 0]
+                doc = np.searchsorted(doc_starts, start + rarest[win, 0], side="right") - 1
+                edge = np.append(doc_starts, len(positions)).astype(np.int64)
+                slack = np.zeros(len(start), np.int64)
+                keep = np.ones(len(start), bool)
+                if slop is None:
+                    keep = (start >= edge[doc]) & (start + run <= edge[doc + 1])
+                for j in range(1, run if slop is None else min(anchors, run)):
+                    win, start, doc, slack = win[keep], start[keep], doc[keep], slack[keep]
+                    if not len(win):
+                        break
+                    there = place[index[use[win], rarest[win, j]]].astype(np.int64)
+                    want = start + rarest[win, j]
+                    k = np.searchsorted(keys, (there << 32) | np.maximum(want, 0))
+                    if slop is None:
+                        keep = keys[np.minimum(k, len(keys) - 1)] == ((there << 32) | want)
+                        continue
+                    away = np.full(len(win), slop + 1)
+                    for c in (k - 1, k):  # the nearest posting of the term before and after, in the same document
+                        c = np.clip(c, 0, len(keys) - 1)
+                        p = keys[c] & 0xFFFFFFFF
+                        good = ((keys[c] >> 32) == there) & (p >= edge[doc]) & (p < edge[doc + 1])
+                        away = np.where(good, np.minimum(away, np.abs(p - want)), away)
+                    slack = np.maximum(slack, away)
+                    keep = slack <= slop
+                if len(win) == len(keep):
+                    win, start, doc, slack = win[keep], start[keep], doc[keep], slack[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs[doc]), pa.array(items[use[win]]), pa.array(wins[use[win]]), pa.array(start - edge[doc]), pa.array(slack)], ["doc", "item", "win", "start", "slack"]
+                )
+
+    return search
 
 
 class PositionalIndex:
-    """Windows of the items and the postings of their rarest terms over the corpus."""
-
-    def __init__(self, docs: DataFrame, items: DataFrame, run: int = RUN, anchors: int = ANCHORS, doc: str = "doc_id", item: str = "item_id", text: str = "text"):
-        self.run = run
-        self.docs = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-        given = items.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-        self.windows = cut(given.mapInArrow(_windows(run), "item long, win int, terms array<long>"))
-        places = self.windows.select("item", "win", F.posexplode("terms").alias("off", "term"))
-        vocabulary = places.select("term").distinct()
-        counts = self.docs.mapInArrow(_counts(_sent(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        rarest = Window.partitionBy("item", "win").orderBy("n", "off")
-        # one row an item, window and anchor; a window with a term that the corpus lacks has no match
-        ranked = (
-            places.join(counts, "term", "left")
-            .withColumn("missing", F.max(F.col("n").isNull()).over(Window.partitionBy("item", "win")))
-            .where("NOT missing")
-            .withColumn("rank", F.row_number().over(rarest))
-        )
-        self.anchors = cut(ranked.where(F.col("rank") <= anchors).select("item", "win", "off", "term", "rank"))
-        self.n_anchors = min(anchors, run)
-        terms = self.anchors.select("term").distinct()
-        self.postings = cut(self.docs.mapInArrow(_postings(_sent(terms)), "term long, doc long, pos int").join(terms, "term", "left_semi"))
-
-    def _starts(self) -> DataFrame:
-        return self.postings.join(self.anchors, "term").select(
-            "doc", "item", "win", "rank", (F.col("pos") - F.col("off")).alias("start")
-        )
-
-    def phrases(self) -> DataFrame:
-        """(doc, item, win, start): the document holds all words of the item's window from word start on."""
-        met = (
-            self._starts()
-            .where("start >= 0")
-            .groupBy("doc", "item", "win", "start")
-            .agg(F.count("*").alias("n"))
-            .where(F.col("n") == self.n_anchors)
-            .join(self.windows, ["item", "win"])
-            .groupBy("doc")
-            .agg(F.collect_list(F.struct("item", "win", "start", "terms")).alias("found"))
-        )
-        return self.docs.join(met, "doc").select("doc", "text", "found").mapInArrow(_confirmed(self.run), "doc long, item long, win long, start long")
-
-    def near(self, slop: int = 4) -> DataFrame:
-        """(doc, item, win, start, slack): all rarest words of a window in the document, up to slop words out of place.
-
-        slack is the largest displacement against the rarest word; 0 means that these words stand as in a phrase.
+    """The stored postings of a corpus; nulls have none, and a repeated row is a document of its own with the same id."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> "PositionalIndex":
+        path = path or f"{shared_dir(docs.sparkSession).rstrip('/')}/positional-{uuid.uuid4().hex}"
+        rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+        kinds = "docs array<long>, doc_starts array<int>, terms array<long>, term_starts array<int>, positions array<int>"
+        rows.mapInArrow(_shards, kinds).write.mode("overwrite").parquet(path)
+        return cls(docs.sparkSession, path)
+
+    def _blocks(self, items: DataFrame, key: str, text: str, run: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows of the items, in blocks; the items themselves are read one after another, never all at once."""
+        held: list[tuple[int, int, list[int]]] = []
+        rows = items.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+        for item, t in rows.distinct().toLocalIterator():
+            w = [_term(x) for x in words(t)]
+            held += [(item, i, w[i : i + run]) for i in range(len(w) - run + 1)]
+            if len(held) >= BLOCK:
+                yield tuple(np.array([h[j] for h in held], np.int64) for j in range(3))
+                held = []
+        if held:
+            yield tuple(np.array([h[j] for h in held], np.int64) for j in range(3))
+
+    def _found(self, items: DataFrame, key: str, text: str, run: int, slop: int | None, anchors: int) -> DataFrame:
+        kinds, out = "doc long, item long, win long, start long, slack long", None
+        shards = self.spark.read.parquet(self.path)
+        for block in self._blocks(items, key, text, run):
+            part = shards.mapInArrow(_search(*block, slop, anchors), kinds)
+            out = part if out is None else out.unionByName(part)
+        return out if out is not None else self.spark.createDataFrame([], kinds)
+
+    def phrases(self, items: DataFrame, run: int = RUN, key: str = "item_id", text: str = "text") -> DataFrame:
+        """(doc, item, win, start): the document holds the item's words from win on, run of them, at its word start."""
+        return self._found(items, key, text, run, None, run).drop("slack")
+
+    def near(self, items: DataFrame, run: int = RUN, slop: int = 4, anchors: int = ANCHORS, key: str = "item_id", text: str = "text") -> DataFrame:
+        """(doc, item, win, start, slack): the rarest words of a window, each within slop words of its place beside the rarest.
+
+        All words of the window must be known to the shard. slack is the largest displacement; 0: these words stand as in a phrase.
         """
-        starts = self._starts()
-        base, other = starts.where("rank = 1").drop("rank"), starts.where("rank > 1").withColumnRenamed("start", "there")
-        return (
-            base.join(other, ["doc", "item", "win"])
-            .where(F.abs(F.col("there") - F.col("start")) <= slop)
-            .groupBy("doc", "item", "win", "start", "rank")
-            .agg(F.min(F.abs(F.col("there") - F.col("start"))).alias("d"))
-            .groupBy("doc", "item", "win", "start")
-            .agg(F.count("*").alias("n"), F.max("d").alias("slack"))
-            .where(F.col("n") == self.n_anchors - 1)
-            .drop("n")
-        )
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, **columns: str) -> DataFrame:
+        return self._found(items, key, text, run, slop, anchors)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, item_id): documents that hold at least run successive words of an item, both in the consistent form.
 
     Nulls, empty texts, and items shorter than run words match nothing. Repeated rows match once.
     """
-    found = PositionalIndex(docs, items, run, **columns).phrases()
+    found = PositionalIndex.build(docs).phrases(items, run)
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
