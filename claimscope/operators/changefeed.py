@@ -54,7 +54,7 @@ def images(changes: DataFrame, base: DataFrame | None = None, hot: int = 200_000
             )
         )
     at = F.struct("time_us", "seq")
-    removal = F.col("event_kind") == "tombstone"
+    removal = F.col("event_kind").eqNullSafe("tombstone")
     rows = _sliced(rows, hot).select(
         "did", "slice", "time_us", "seq",
         F.struct(removal.alias("gone")).alias("any"),
