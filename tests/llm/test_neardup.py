@@ -19,7 +19,7 @@ def brute(texts, k, least):
     return {(i, j) for i, j in combinations(sorted(sets), 2) if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least}
 
 
-def made(seed=1, bases=40, copies=6):
+def made(seed=1, bases=90, copies=6):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     out = []
