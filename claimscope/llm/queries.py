@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimscope.llm import formatcopies, leakage, lookalike, mixing, neardup, patterns, spans
 from claimscope.operators.timestamps import instant_micros
-from claimscope.runtime import table
+from claimscope.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,12 +100,10 @@ def p8_near_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(mixing.token_lengths(table(spark, d, "documents")), table(spark, d, "source_targets"))
+    return mixing.mix(cut(mixing.token_lengths(table(spark, d, "documents"))), table(spark, d, "source_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    from claimscope.runtime import cut
-
     lengths, targets = cut(mixing.token_lengths(table(spark, d, "documents"))), table(spark, d, "source_targets")
     return mixing.reached(mixing.mix(lengths, targets), lengths, targets)
 
