@@ -199,29 +199,31 @@ def fingerprint_source(text: Column, config: FingerprintConfig = DEFAULT) -> Col
         """From the signals: each part that a source may have, or null."""
         first = F.get(x["spans"], F.lit(0))
         amounts = F.transform(F.array_sort(x["quantities"]), lambda a: number(a, config))
-        rest = F.split(F.trim(F.regexp_replace(normal_text(F.get(x["forms"], F.lit(0)), config), QUANTITY, "")), r"\s+")
         return record(
             multi=listed("E:", F.filter(x["names"], lambda e: e.contains(" "))), single=listed("E:", F.filter(x["names"], lambda e: ~e.contains(" "))),
             q=F.when(F.size(amounts) > 0, F.concat(F.lit("Q:"), F.array_join(amounts, ","))),
             prep=F.lower(F.regexp_extract(first, place, 1)), object=F.lower(F.regexp_extract(first, place, 2)),
-            word=F.get(F.filter(rest, lambda w: (F.length(w) > 3) & ~F.array_contains(_strings(config.context_stop), w)), F.lit(0)),
             d=listed("D:", x["domains"]),
-            s=listed("S:", F.transform(F.slice(x["forms"], F.lit(1), F.size(x["spans"])), lambda f: normal_text(f, config))),
-            t=F.concat(F.lit("T:"), normal_text(F.element_at(x["forms"], -1), config)),
         )
 
-    def joined(p: Column) -> Column:
+    def joined(p: Column, x: Column) -> Column:
+        """Branches are only computed where they are taken: most texts need none of the normalised ones."""
+        rest = F.split(F.trim(F.regexp_replace(normal_text(F.get(x["forms"], F.lit(0)), config), QUANTITY, "")), r"\s+")
+        word = F.get(F.filter(rest, lambda w: (F.length(w) > 3) & ~F.array_contains(_strings(config.context_stop), w)), F.lit(0))
+        barred_words = _strings(config.hedges + config.modal + config.entity_stop)
         known = (p["object"] != "") & ~F.array_contains(_strings(config.context_stop + config.entity_stop), p["object"])
-        fit = ~F.array_contains(_strings(config.hedges + config.modal + config.entity_stop), p["word"])
-        context = F.when(known, F.concat(F.lit("P:"), p["prep"], F.lit(":"), p["object"])).when(fit, F.concat(F.lit("C:"), p["word"]))
-        strong = _nonempty(F.array_join(F.array_compact(F.array(p["multi"], p["q"], F.when(p["q"].isNotNull() & p["s"].isNotNull(), context))), "|"))
-        kinds = (("multi", "entity"), ("q", "quantity"), ("d", "domain"), ("single", "entity"), ("s", "span"))
-        kind = F.coalesce(*(F.when(p[c].isNotNull(), F.lit(k)) for c, k in kinds), F.lit("text"))
-        return record(source=F.coalesce(strong, p["d"], p["single"], p["s"], p["t"]), kind=kind)
+        context = F.when(known, F.concat(F.lit("P:"), p["prep"], F.lit(":"), p["object"])).otherwise(let(word, lambda w: F.when(~F.array_contains(barred_words, w), F.concat(F.lit("C:"), w))))
+        has_spans = F.size(x["spans"]) > 0
+        strong = let(F.array_join(F.array_compact(F.array(p["multi"], p["q"], F.when(p["q"].isNotNull() & has_spans, context))), "|"), _nonempty)
+        s = listed("S:", F.transform(F.slice(x["forms"], F.lit(1), F.size(x["spans"])), lambda f: normal_text(f, config)))
+        plain = F.concat(F.lit("T:"), normal_text(F.element_at(x["forms"], -1), config))
+        kinds = (("multi", "entity"), ("q", "quantity"), ("d", "domain"), ("single", "entity"))
+        kind = F.coalesce(*(F.when(p[c].isNotNull(), F.lit(k)) for c, k in kinds), F.when(has_spans, "span"), F.lit("text"))
+        return record(source=F.coalesce(strong, p["d"], p["single"], s, plain), kind=kind)
 
     names = F.transform(F.filter(entities(t), lambda e: ~F.array_contains(barred, F.lower(e))), lambda e: _entity(e, config))
     raw = record(spans=spans(t), quantities=quantities(t), names=names, domains=link_domains(t), forms=forms)
-    return let(raw, lambda x: let(parts(x), joined))
+    return let(raw, lambda x: let(parts(x), lambda p: joined(p, x)))
 
 
 def fingerprint(text: Column, config: FingerprintConfig = DEFAULT) -> Column:
