@@ -58,6 +58,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    return path
+
+
 def release() -> None:
     """Lets go of what finished phases hold: shuffle files go once the driver has collected their last reference."""
     gc.collect()
@@ -75,10 +82,9 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """As cut, but as a compressed table; for rows that are wide or read in part. It is removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     release()
     df.write.parquet(path)
-    atexit.register(_removed, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,13 +13,11 @@ A batch that is run again overwrites its own part only, so a restart after a los
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.operators.timestamps import instant_micros
-from claimscope.runtime import as_instant, shared_dir
+from claimscope.runtime import as_instant, scratch
 
 HOUR = 3_600_000_000
 
@@ -37,18 +35,19 @@ class HourlyCounts:
 
     def __init__(self, spark: SparkSession, instants: DataFrame, lateness_hours: int = 72, folder: str | None = None):
         self.spark, self.instants, self.lateness = spark, instants, lateness_hours * HOUR
-        self.folder = folder or f"{shared_dir(spark).rstrip('/')}/late-events-{uuid.uuid4().hex}"
-        self.batches: list[int] = []
+        self.folder = folder or scratch(spark, "late-events")
+
+    @property
+    def batches(self) -> list[int]:
+        """Numbers of the batches that are done, as the folder has them: a new driver goes on where another stopped."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/updates/batch=*/_SUCCESS")
+        done = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in done or [])
 
     def _past(self, name: str, before: int | None = None) -> DataFrame | None:
+        """The log of the batches before one, or of all that are done; only their folders are read."""
         done = [b for b in self.batches if before is None or b < before]
-        if not done:
-            return None
-        frames = [self.spark.read.parquet(f"{self.folder}/{name}/batch={b}").withColumn("batch", F.lit(b)) for b in done]
-        whole = frames[0]
-        for f in frames[1:]:
-            whole = whole.unionByName(f)
-        return whole
+        return self.spark.read.parquet(f"{self.folder}/{name}").where(F.col("batch") <= done[-1]) if done else None
 
     def _write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
         df.write.mode("overwrite").parquet(at := f"{self.folder}/{name}/batch={batch}")
@@ -84,8 +83,6 @@ class HourlyCounts:
             keys = change.select("fingerprint", "hour_epoch").distinct()
             change = change.unionByName(log.drop("batch").join(keys, ["fingerprint", "hour_epoch"], "left_semi"))
         self._write(totals(change), "updates", batch)
-        if batch not in self.batches:
-            self.batches.append(batch)
 
     def run(self, source: str, files_per_batch: int | None = None) -> "HourlyCounts":
         """Reads all that is available of a Parquet feed as a stream, and returns when it is processed."""
@@ -109,7 +106,7 @@ class HourlyCounts:
         past = self._past("updates")
         if past is None:
             return self.spark.createDataFrame([], "fingerprint string, hour_epoch long, event_count long, unique_authors long")
-        if len(self.batches) > 1:
+        if len(self.batches) > 1:  # of one batch, each key has one row
             past = past.groupBy("fingerprint", "hour_epoch").agg(F.max_by(F.struct("event_count", "unique_authors"), "batch").alias("u")).select("fingerprint", "hour_epoch", "u.*")
         return past.where("event_count > 0").select("fingerprint", "hour_epoch", "event_count", "unique_authors")
 

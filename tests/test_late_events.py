@@ -54,6 +54,8 @@ def test_batches_agree(spark, tmp_path):
         counts.process(spark.createDataFrame(events[parts - 1 :: parts], EVENTS), last) if parts == 1 else None  # a replay overwrites itself
         assert sorted(map(tuple, counts.current().collect())) == want
         assert counts.late().where("late_us <= 0").count() == 0
+        # a driver that starts anew finds the state in the folder
+        assert sorted(map(tuple, le.HourlyCounts(spark, instants, folder=counts.folder).current().collect())) == want
 
 
 def test_differences_and_single_file(spark, tmp_path):
