@@ -11,7 +11,6 @@ Items are sent to the tasks in blocks of bounded size, as many blocks as it take
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.llm.textform import words
-from claimscope.runtime import shared_dir
+from claimscope.runtime import scratch
 
 RUN, ANCHORS = 10, 3
 #: Tokens of a shard, and documents at most; windows of a block of items.
@@ -134,7 +133,7 @@ class PositionalIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> "PositionalIndex":
-        path = path or f"{shared_dir(docs.sparkSession).rstrip('/')}/positional-{uuid.uuid4().hex}"
+        path = path or scratch(docs.sparkSession, "positional")
         rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
         kinds = "docs array<long>, doc_starts array<int>, terms array<long>, term_starts array<int>, positions array<int>"
         rows.mapInArrow(_shards, kinds).write.mode("overwrite").parquet(path)
