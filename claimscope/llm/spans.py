@@ -80,24 +80,30 @@ def _units(least: int, unit: int):
                     inside[s : e - least + 1] = True
                 at = np.unique((least_of[inside] & np.uint64(0xFFFFF)).astype(np.int64))
                 piece = np.searchsorted(ends, at, side="right")
-                # a periodic run gives the same unit again and again: its first and last place are enough
-                same = (h[at[1:]] == h[at[:-1]]) & (np.diff(at) < unit) & (piece[1:] == piece[:-1])
-                keep = ~(np.concatenate([[False], same]) & np.concatenate([same, [False]]))
+                # a periodic run gives the same unit again and again, at one step: its first place and the step stand for all
+                step = np.diff(at)
+                same = (h[at[1:]] == h[at[:-1]]) & (step < unit) & (piece[1:] == piece[:-1])
+                same[1:] &= ~(same[:-1] & (step[1:] != step[:-1]))
+                keep = ~np.concatenate([[False], same])
+                step = np.append(np.where(same, step, 0), 0)[keep]
                 at, piece = at[keep], piece[keep]
                 row = np.array([i for i, _, _ in group])[piece]
                 offset = np.array([o for _, o, _ in group])[piece] - (ends - lengths)[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), b.column(0).take(pa.array(row)), pa.array((at + offset).astype(np.int32))],
-                    ["unit", "doc", "pos"],
+                    [pa.array(h[at].view(np.int64)), b.column(0).take(pa.array(row)), pa.array((at + offset).astype(np.int32)), pa.array(step.astype(np.int32))],
+                    ["unit", "doc", "pos", "step"],
                 )
 
     return run
 
 
 def content_units(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, unit: int = UNIT) -> DataFrame:
-    """(unit, doc, pos): the digests and offsets of the units of every text of least characters or more."""
+    """(unit, doc, pos, step): the digests and offsets of the units of every text of least characters or more.
+
+    A unit that comes again at the same step of less than its length is one row, of its first place; else step is 0.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.length("text") >= least)
-    return rows.mapInArrow(_units(least, unit), "unit long, doc long, pos int").distinct()
+    return rows.mapInArrow(_units(least, unit), "unit long, doc long, pos int, step int").distinct()
 
 
 def _common(a: str, b: str, i: int, j: int, step: int) -> int:
@@ -118,23 +124,73 @@ def _common(a: str, b: str, i: int, j: int, step: int) -> int:
     return lo
 
 
-def _runs(least: int):
+def _periodic(t: str, at: int, step: int) -> tuple[int, int]:
+    """The borders of the run around t[at] that repeats every step characters."""
+    return at - _common(t, t, at, at + step, -1), at + step + _common(t, t, at, at + step, 1)
+
+
+def _repeated(s: str, t: str, i: int, j: int, step: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """(start in s, start in t, length) of alignments of two runs of one period, of which s[i] and t[j] are equal places.
+
+    Runs agree wherever they overlap in phase, and no further unless their borders meet. Of the alignments with an overlap
+    of least characters so many are given that they cover what all of them cover in both texts, the longest among them.
+    """
+    (a, a_end), (b, b_end) = _periodic(s, i, step), _periodic(t, j, step)
+    up = lambda d: d + (i - j - d) % step
+    down = lambda d: d - (d - i + j) % step
+    borders = (a - b, a_end - b_end)
+    for d in {x for x in borders if x == up(x)}:
+        at = max(a, b + d)
+        before, after = _common(s, t, at, at - d, -1), _common(s, t, at, at - d, 1)
+        if before + after >= least:
+            yield at - before, at - d - before, before + after
+    if min(a_end - a, b_end - b) >= least:
+        first, last = a + least - b_end, a_end - least - b
+        tried = {up(first), down(last), *range(up(first), last + 1, least // step * step), *(f(x) for f in (up, down) for x in borders)}
+        for d in tried - set(borders):
+            if first <= d <= last:
+                at = max(a, b + d)
+                yield at, at - d, min(a_end, b_end + d) - at
+
+
+def _runs(least: int, unit: int):
+    def places(t: str, at: int, step: int) -> range:
+        return range(at, _periodic(t, at, step)[1] - unit + 1, step) if step else range(at, at + 1)
+
+    def shared(s: str, t: str, anchors: list[dict]) -> set[tuple[int, int, int]]:
+        if s == t:
+            return {(0, 0, len(s))}
+        found, single, done = set(), set(), set()
+        for p in anchors:
+            i, j, step = p["pa"], p["pb"], p["sa"] or p["sb"]
+            if s[i : i + unit] != t[j : j + unit]:
+                continue
+            if not step:
+                single.add((i, j))
+            elif p["sa"] and p["sb"] and p["sa"] != p["sb"]:
+                single.update((x, y) for x in places(s, i, p["sa"]) for y in places(t, j, p["sb"]))
+            else:
+                runs = (_periodic(s, i, step), _periodic(t, j, step), step, (i - j) % step)
+                if runs not in done:
+                    done.add(runs)
+                    found.update(_repeated(s, t, i, j, step, least))
+        reached: dict[int, int] = {}
+        for i, j in sorted(single):
+            if reached.get(i - j, -1) > i:
+                continue
+            before, after = _common(s, t, i, j, -1), _common(s, t, i, j, 1)
+            reached[i - j] = i + after
+            if before + after >= least:
+                found.add((i - before, j - before, before + after))
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for x, y, s, t, anchors in zip(*(c.to_pylist() for c in b.columns)):
-                if s == t:
-                    anchors = anchors[:1]
-                reached: dict[int, int] = {}
-                for at in sorted(anchors, key=lambda p: p["pa"]):
-                    i, j = at["pa"], at["pb"]
-                    if reached.get(i - j, -1) > i:
-                        continue
-                    before, after = _common(s, t, i, j, -1), _common(s, t, i, j, 1)
-                    reached[i - j] = i + after
-                    if before + after >= least:
-                        for c, v in zip(out, (x, y, i - before, j - before, before + after)):
-                            c.append(v)
+                for place in sorted(shared(s, t, anchors)):
+                    for c, v in zip(out, (x, y, *place)):
+                        c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in out], ["doc_a", "doc_b", "start_a", "start_b", "length"]
             )
@@ -146,13 +202,14 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     """(doc_a, doc_b, start_a, start_b, length): the longest runs of least or more characters that two texts share.
 
     doc_a < doc_b; offsets count code points of the text as stored. Nulls, empty and shorter texts share nothing.
+    Equal texts give one run. Where both texts repeat with one period, the runs given cover all that any alignment does.
     """
     units = cut(content_units(docs, key, text, least, unit))
     held = units.groupBy("unit").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("unit")
     common = units.join(held, "unit")
     a, b = common.alias("a"), common.alias("b")
     met = a.join(b, F.expr("a.unit = b.unit AND a.doc < b.doc")).select(
-        F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"), F.struct(F.col("a.pos").alias("pa"), F.col("b.pos").alias("pb")).alias("at")
+        F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"), F.struct(F.col("a.pos").alias("pa"), F.col("a.step").alias("sa"), F.col("b.pos").alias("pb"), F.col("b.step").alias("sb")).alias("at"),
     )
     pairs = cut(met.groupBy("doc_a", "doc_b").agg(F.collect_set("at").alias("anchors")))
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
@@ -163,7 +220,7 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         .join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
         .select("doc_a", "doc_b", "text_a", "text_b", "anchors")
     )
-    return both.mapInArrow(_runs(least), "doc_a long, doc_b long, start_a long, start_b long, length long")
+    return both.mapInArrow(_runs(least, unit), "doc_a long, doc_b long, start_a long, start_b long, length long")
 
 
 def _lines(separator: str, least: int):

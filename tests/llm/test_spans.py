@@ -53,3 +53,36 @@ def test_duplicate_lines_keep_their_offsets(spark):
     text = dict(docs)[2]
     assert [text[g[2] : g[3]] for g in got] == ["second line", "third", "third"] and all(g[4] == 1 for g in got)
     assert spans.duplicate_units(df.limit(0)).count() == 0
+
+
+def covered(a, b, least):
+    """The places of a that lie in least characters which b has too."""
+    held = {b[j : j + least] for j in range(len(b) - least + 1)}
+    return {x for i in range(len(a) - least + 1) if a[i : i + least] in held for x in range(i, i + least)}
+
+
+def test_every_alignment_of_periodic_runs(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    docs = []
+    for period in (1, 2, 7, 40, 80, 100, 119):
+        for least_over in (0, 5, 20, 150):
+            line, head = text(period), text(150)
+            cutout = (line * 400)[(at := rng.randrange(period)) : at + 300 + least_over]
+            docs.append((head if least_over else text(90)) + line * (1 + 1600 // period) + text(200))
+            docs.append((head if least_over == 20 else text(130)) + cutout + text(170))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    runs = spans.shared_spans(df)
+    got = {}
+    for r in runs.collect():
+        a, b = docs[r.doc_a], docs[r.doc_b]
+        assert r.length >= 300 and a[r.start_a : r.start_a + r.length] == b[r.start_b : r.start_b + r.length]
+        here = got.setdefault((r.doc_a, r.doc_b), [set(), set(), 0])
+        here[0].update(range(r.start_a, r.start_a + r.length)), here[1].update(range(r.start_b, r.start_b + r.length))
+        here[2] = max(here[2], r.length)
+    want = {}
+    for i, j in combinations(range(len(docs)), 2):
+        a, b = docs[i], docs[j]
+        if n := longest(a, b, 300):
+            want[i, j] = [covered(a, b, 300), covered(b, a, 300), n]
+    assert got == want and len(want) >= 28
