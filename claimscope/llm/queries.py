@@ -94,7 +94,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_near_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Items whose rarest words stand close together in a document, with the least displacement found."""
+    """Items of which a document holds a window but for a few words moved or replaced, with the least displacement found."""
     index = leakage.PositionalIndex.build(table(spark, d, "documents"))
     return index.near(table(spark, d, "eval_items")).groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.min("slack").alias("slack"), F.countDistinct("win").alias("windows"))
 
