@@ -15,21 +15,36 @@ from claimscope.plans.cluster_queries import CLAIMS, claims
 from claimscope.runtime import stored, table
 
 
-def posts(spark: SparkSession, d: str) -> DataFrame:
-    """Posts for the drift rules, stored as several rules read them. The tables hold no links, embeds or facets beside the text, so links are those in it."""
+def posts(spark: SparkSession, d: str, evidence: bool = True) -> DataFrame:
+    """Posts for the drift rules, stored as several rules read them.
+
+    Links are those in the text. The evidence beside it, its hash and the fingerprint are those of a post's latest claim; a post
+    without one has its text only. Mixed evidence counts as links, embeds and facets: it is two of them at least, and the
+    rules ask for one of links and embeds, or of links and facets. Without ``evidence`` the text alone counts.
+    """
     p = table(spark, d, "posts").where("uri IS NOT NULL")
     first = p.groupBy("uri").agg(F.min(F.struct("seq", "text", "author_did", "created_at", "client_zone", "reply_root_uri")).alias("p")).select("uri", "p.*")
+    held = claims(spark, d).where("post_uri IS NOT NULL").groupBy(F.col("post_uri").alias("uri")).agg(F.max(F.struct("seq", "fp", "evidence_hash", "evidence_class")).alias("c"))
     text = F.coalesce("text", F.lit(""))
-    none = F.array().cast("array<string>")
-    rows = first.select(
+    with_ = lambda *kinds: F.coalesce(F.col("c.evidence_class").isin(*kinds, "mixed"), F.lit(False)).cast("int") if evidence else F.lit(0)
+    rows = first.join(held, "uri", "left").select(
         "uri", "seq", F.col("author_did").alias("author"), F.coalesce("reply_root_uri", "uri").alias("root"),
         F.timestamp_micros(instant_micros(F.col("created_at"), F.col("client_zone"))).alias("ts"), text.alias("text"),
-        F.size(F.regexp_extract_all(text, F.lit(ct.URL), 0)).alias("n_links"), F.lit(0).alias("n_embeds"), F.lit(0).alias("n_facets"),
-        F.lit("").alias("evidence_hash"), ct.fingerprint(text)["fp"].alias("fp"),
+        F.greatest(F.size(F.regexp_extract_all(text, F.lit(ct.URL), 0)), with_("link")).alias("n_links"), with_("embed").alias("n_embeds"), with_("facet").alias("n_facets"),
+        F.coalesce("c.evidence_hash", F.lit("")).alias("evidence_hash"), F.coalesce("c.fp", ct.fingerprint(text)["fp"]).alias("fp"),
     )
     return stored(rows)
 
 
+def history(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
+    """Claims of stored posts by their own time, with the text of the post and the evidence of the claim."""
+    c = table(spark, d, "claim_history").where("post_uri IS NOT NULL AND author_did IS NOT NULL").select(
+        F.col("author_did").alias("author"), F.lower(F.regexp_replace("claim_fingerprint", "[^0-9A-Za-z]", "")).alias("fp"),
+        F.timestamp_micros(instant_micros(F.col("created_at"))).alias("ts"), F.col("post_uri").alias("uri"), F.coalesce("evidence_hash", F.lit("")).alias("evidence_hash"),
+    )
+    return stored(c.where("ts IS NOT NULL AND fp IS NOT NULL").join(p.select("uri", "text"), "uri"))
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "posts").select("seq", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -84,7 +99,8 @@ def claim_collisions(spark, d):
 
 
 def quote_mismatch(spark, d):
-    return drift.quote_mismatch(posts(spark, d)).select("subject_uri", "label", "score")
+    """By the text alone, as its SQL says."""
+    return drift.quote_mismatch(posts(spark, d, evidence=False)).select("subject_uri", "label", "score")
 
 
 def time_inconsistency(spark, d):
@@ -97,12 +113,12 @@ def repeat_claim(spark, d):
 
 def laundering(spark, d):
     p = posts(spark, d)
-    return drift.provenance_laundering(p, p).select("subject_uri", "prior_uri")
+    return drift.provenance_laundering(p, history(spark, d, p)).select("subject_uri", "prior_uri")
 
 
 def drift_labels(spark, d):
     p = posts(spark, d)
-    return drift.all_rules(p, p).groupBy("label").agg(F.count("*").alias("n"))
+    return drift.all_rules(p, history(spark, d, p)).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def asof_prior(spark, d):

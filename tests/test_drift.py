@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimscope.functions import claim_text as ct
 from claimscope.operators import drift
+from claimscope.plans import text_queries
 
 POST = "uri string, author string, root string, ts timestamp, text string"
 
@@ -77,3 +78,21 @@ def test_reconcile_and_anti_join(spark):
 def test_empty(spark):
     p = posts(spark, THREAD).limit(0)
     assert drift.all_rules(p, p).count() == 0
+
+
+def test_evidence_and_history_come_from_the_claims(spark, tmp_path):
+    said = {"a1": "I think maybe 10 cases occured.", "a2": "Confirmed: 10 cases occured.", "b1": "I think maybe 10 cases occured.", "b2": "Confirmed: 10 cases occured.", "c1": '"quoted" with a facet', "c2": '"quoted" without'}
+    at = {u: f"2025-01-01T10:{i:02d}:00Z" for i, u in enumerate(said)}
+    spark.createDataFrame([(i, u, x, u[0], at[u], None, None if u[0] != "a" else "r") for i, (u, x) in enumerate(said.items())],
+        "seq long, uri string, text string, author_did string, created_at string, client_zone string, reply_root_uri string").write.parquet(f"{tmp_path}/posts.parquet")
+    claims = [("a", "F", "a1", None, "none"), ("a", "f", "a2", "e2", "embed"), ("b", "g", "b1", "e", "link"), ("b", "G", "b2", "old", "none"), ("b", "g", "b2", "e", "link"), ("c", "h", "c1", "e3", "facet")]
+    spark.createDataFrame([(i, a, f, at[u], h, u, k, "text", "jetstream", 0.5) for i, (a, f, u, h, k) in enumerate(claims)],
+        "seq long, author_did string, claim_fingerprint string, created_at string, evidence_hash string, post_uri string, evidence_class string, fp_kind string, provenance string, confidence double"
+    ).withColumn("observed_at", F.lit("2025-01-01 12:00:00").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/claim_history.parquet")
+    p = text_queries.posts(spark, str(tmp_path))
+    flags = {r.uri: (r.n_links, r.n_embeds, r.n_facets, r.evidence_hash, r.fp) for r in p.collect()}
+    assert flags["a2"] == (0, 1, 0, "e2", "f") and flags["b2"] == (1, 0, 0, "e", "g") and flags["c1"] == (0, 0, 1, "e3", "h") and flags["a1"] == (0, 0, 0, "", "f")
+    # a2 has new evidence, b2 has that of its prior; c1 has a facet
+    surer = drift.assertiveness_increase(p, text_queries.history(spark, str(tmp_path), p))
+    got = {(r.subject_uri, r.rule_id, r.prior_uri) for r in surer.unionByName(drift.quote_mismatch(p)).collect()}
+    assert got == {("b2", "assertiveness_increase", "b1"), ("c2", "quote_mismatch", None)}
