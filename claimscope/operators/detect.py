@@ -233,6 +233,30 @@ def health_step(s: dict, events: int, seconds: float, backlog: int, dropped: int
     return s, row
 
 
+def stream_lag(arrivals: DataFrame, alpha: float = 0.2, most: float = 600.0) -> DataFrame:
+    """(window, lag_s): the moving average of the lag of arrivals (window, at, no, lag_s) in order, at the end of each window.
+
+    A lag is held between 0 and ``most``; an average of 0 is seeded anew; unknown lags change nothing. Arrivals are weighed
+    within their window, and the windows, one row each, are folded in order.
+    """
+    x = F.when(F.col("lag_s").isNotNull(), F.least(F.greatest(F.col("lag_s"), F.lit(0.0)), F.lit(most)))
+    rows = arrivals.select("window", "at", "no", x.alias("x"))
+    seed = rows.where("x > 0").agg(F.min(F.struct("at", "no")).alias("seed"))  # one row
+    later = F.row_number().over(Window.partitionBy("window", F.isnull("x")).orderBy(F.desc("at"), F.desc("no"))) - 1
+    weight = F.when(F.struct("at", "no") == F.col("seed"), 1.0).otherwise(alpha) * F.pow(F.lit(1 - alpha), later)
+    each = rows.crossJoin(seed).withColumn("w", weight).groupBy("window").agg(F.count("x").alias("n"), F.coalesce(F.sum(F.col("x") * F.col("w")), F.lit(0.0)).alias("b"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, lag, out = pdf.sort_values("window"), 0.0, []
+        for n, b in zip(pdf["n"], pdf["b"]):
+            lag = lag * (1 - alpha) ** n + b
+            out.append(lag)
+        return pd.DataFrame({"window": pdf["window"], "lag_s": out})
+
+    kind = arrivals.schema["window"].dataType.simpleString()
+    return each.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: fold(pdf), f"window {kind}, lag_s double")
+
+
 def health(windows: DataFrame) -> DataFrame:
     """The health machine over (stream, window_no, events_in, window_secs, backlog, dropped, lag_s): a fold a stream.
 

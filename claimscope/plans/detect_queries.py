@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from claimscope.operators import cluster, detect
+from claimscope.operators.timestamps import instant_micros
 from claimscope.plans.cluster_queries import _bursts, claims, decisions
 from claimscope.runtime import table
 
@@ -45,13 +46,20 @@ def cooled_detections(spark, d):
 
 
 def health_windows(spark, d):
-    """Arrivals of each hour as windows of one stream: late ones count as lag, repeats as dropped."""
-    e = table(spark, d, "post_events").where("ctime IS NOT NULL")
-    per = e.groupBy(F.date_trunc("hour", "ctime").alias("hour")).agg(F.count("*").alias("n"), F.countDistinct("event_uri").alias("uris"))
+    """Arrivals of each hour as windows of one stream, with the lag of arrivals behind their posts' own time; repeats count as dropped.
+
+    The backlog is a level, the running sum of the differences of hourly counts: the count of the hour.
+    """
+    e = table(spark, d, "post_events").where("ctime IS NOT NULL").withColumn("hour", F.date_trunc("hour", "ctime"))
+    zones = table(spark, d, "posts").where("uri IS NOT NULL").groupBy(F.col("uri").alias("event_uri")).agg(F.min(F.struct("seq", "client_zone")).alias("p"))
+    own = instant_micros(F.get_json_object("raw", "$.createdAt"), F.col("p.client_zone"))
+    late = e.join(zones, "event_uri", "left").select(F.col("hour").alias("window"), F.col("ctime").alias("at"), F.col("event_no").alias("no"), ((F.unix_micros("ctime") - own) / 1e6).alias("lag_s"))
+    lag = detect.stream_lag(late).withColumnRenamed("window", "hour")
+    per = e.groupBy("hour").agg(F.count("*").alias("n"), F.countDistinct("event_uri").alias("uris")).join(lag, "hour")
     order = Window.orderBy("hour")  # one row an hour
     return per.select(
         F.lit("post_events").alias("stream"), F.row_number().over(order).cast("long").alias("window_no"), F.col("uris").alias("events_in"), F.lit(3600.0).alias("window_secs"),
-        (F.col("n") - F.coalesce(F.lag("n").over(order), F.lit(0))).alias("backlog"), (F.col("n") - F.col("uris")).alias("dropped"), F.lit(0.0).alias("lag_s"),
+        F.col("n").alias("backlog"), (F.col("n") - F.col("uris")).alias("dropped"), "lag_s",
     )
 
 

@@ -1,5 +1,7 @@
 """Envelopes, cooldown, sensors and the health machine, on traces worked out by hand."""
 
+import random
+
 import pytest
 
 from claimscope.operators import cluster, detect
@@ -97,3 +99,29 @@ def test_sensors(spark):
     assert [r.severity for r in got] == [None] * 5 + ["high"] and got[0].herfindahl == 0.1
     v = detect.author_velocity(s).where("fp = 'f0'").orderBy("bin").collect()
     assert v[0].baseline is None and v[-1].severity == "high" and v[-1].change == -0.99
+
+
+def test_stream_lag_and_backlog_reach_the_health_machine(spark, tmp_path):
+    from claimscope.plans import detect_queries
+
+    rng = random.Random(2)
+    lags = [0, -50, 0, *(rng.choice([0, 5, 200, 90_000, -3, None]) for _ in range(60))]
+    rows = [(i // 9, i, i, None if x is None else float(x)) for i, x in enumerate(lags)]
+    want, v = {}, 0.0
+    for w, _, _, x in rows:
+        if x is not None:
+            x = min(max(x, 0.0), 600.0)
+            v = x if v == 0.0 else 0.2 * x + 0.8 * v
+        want[w] = v
+    got = {r.window: r.lag_s for r in detect.stream_lag(spark.createDataFrame(rows, "window long, at long, no long, lag_s double")).collect()}
+    assert got == pytest.approx(want) and want[0] != want[6]
+    # hours of 5, 205, 405, ... arrivals, each five minutes behind its post's time in the zone of its client
+    at, events = lambda h, s: f"2025-01-01T{h:02d}:{s // 60:02d}:{s % 60:02d}", []
+    for h in range(6):
+        events += [(len(events) + k, f"u{h}.{k}", at(h, 600 + k), '{"createdAt": "%s"}' % at(h + 1, 300 + k)) for k in range(5 + 200 * h)]
+    spark.createDataFrame(events, "event_no long, event_uri string, c string, raw string").selectExpr("*", "cast(c as timestamp_ntz) ctime").write.parquet(f"{tmp_path}/post_events.parquet")
+    spark.createDataFrame([(i, u, "Europe/Paris") for i, u, _, _ in events], "seq long, uri string, client_zone string").write.parquet(f"{tmp_path}/posts.parquet")
+    windows = detect_queries.health_windows(spark, str(tmp_path)).orderBy("window_no").collect()
+    assert [r.backlog for r in windows] == [5 + 200 * h for h in range(6)] and [round(r.lag_s, 6) for r in windows] == [300.0] * 6
+    health = detect_queries.stream_health(spark, str(tmp_path)).orderBy("window_no").collect()
+    assert health[0].gated and health[4].state == "degraded" and health[4].reasons == "lag_high,consumer_backlog"
