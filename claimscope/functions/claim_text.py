@@ -285,6 +285,11 @@ def evidence_hash(links: pa.Array, embeds: pa.Array, facets: pa.Array) -> pa.Arr
     return pa.array([one(*x) for x in zip(links.to_pylist(), embeds.to_pylist(), facets.to_pylist())], pa.string())
 
 
+def plain_key(value: Column) -> Column:
+    """The letters and digits of a value in lower case: what is left of a fingerprint when its formatting doesn't count."""
+    return F.lower(F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
+
+
 def did_of(uri: Column) -> Column:
     """The account of an at:// address, or null."""
     return _nonempty(F.regexp_extract(uri, r"^at://(did:[^/]*)", 1))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimscope.functions import claim_text as ct
 from claimscope.operators import cluster
 from claimscope.runtime import table
 
@@ -16,7 +17,7 @@ AS_OF = "2023-11-05 12:00:00"
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "claim_history").select(
-        "seq", F.col("author_did").alias("author"), F.lower(F.regexp_replace("claim_fingerprint", "[^0-9A-Za-z]", "")).alias("fp"),
+        "seq", F.col("author_did").alias("author"), ct.plain_key(F.col("claim_fingerprint")).alias("fp"),
         F.col("observed_at").alias("ts"), "confidence", "evidence_class", "fp_kind", "evidence_hash", "post_uri", "provenance",
     )
 
@@ -101,7 +102,7 @@ QUERIES = {f.__name__: f for f in (
     automation_flag, label_vectors, regime_shift, herfindahl, author_ratio, hourly_rollup, uri_map, fp_bounds,
 )}
 
-CLAIMS = """claims AS (SELECT seq, author_did AS author, lower(regexp_replace(claim_fingerprint, '[^0-9A-Za-z]', '', 'g')) AS fp, observed_at AS ts,
+CLAIMS = """claims AS (SELECT seq, author_did AS author, lower(regexp_replace(claim_fingerprint, '[^\\p{L}\\p{N}]', '', 'g')) AS fp, observed_at AS ts,
   confidence, evidence_class, fp_kind, evidence_hash, post_uri, provenance FROM claim_history)"""
 
 

@@ -39,7 +39,7 @@ def posts(spark: SparkSession, d: str, evidence: bool = True) -> DataFrame:
 def history(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
     """Claims of stored posts by their own time, with the text of the post and the evidence of the claim."""
     c = table(spark, d, "claim_history").where("post_uri IS NOT NULL AND author_did IS NOT NULL").select(
-        F.col("author_did").alias("author"), F.lower(F.regexp_replace("claim_fingerprint", "[^0-9A-Za-z]", "")).alias("fp"),
+        F.col("author_did").alias("author"), ct.plain_key(F.col("claim_fingerprint")).alias("fp"),
         F.timestamp_micros(instant_micros(F.col("created_at"))).alias("ts"), F.col("post_uri").alias("uri"), F.coalesce("evidence_hash", F.lit("")).alias("evidence_hash"),
     )
     return stored(c.where("ts IS NOT NULL AND fp IS NOT NULL").join(p.select("uri", "text"), "uri"))
