@@ -1,9 +1,11 @@
-"""Duplicates hidden by formatting (problem 7).
+"""Duplicates hidden by formatting (problem 7): dictionary encoding.
 
-Columns are dictionary-encoded batch by batch: each distinct value of a batch is canonicalised once and named by
-a 128-bit content identifier, so dictionaries of different batches agree without being merged. A record becomes the
-sorted tuple of its field-value identifiers; only these tuples are shuffled and grouped, after partial aggregation.
-Group sizes are sums and first members minima, so a group may hold any part of the rows.
+Each distinct value of a column is canonicalised once, over the whole table. Each distinct canonical value is given an integer in a
+stored dictionary, records are rewritten as sorted tuples of these integers, and only the compact tuples are grouped. Group sizes are
+sums and first members minima, so a value or a group may hold any part of the rows.
+
+A text has up to two canonical values: its letters and digits, and the tuple of its named fields. Texts that agree in either are in one
+group, and so are texts linked by a chain of such agreements.
 """
 
 from __future__ import annotations
@@ -15,64 +17,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.functions.claim_text import plain_key
 from claimscope.llm.arrow import digests, list_array
 from claimscope.llm.textform import format_free
-from claimscope.runtime import cut
+from claimscope.runtime import cut, stored
+
+_PAIR = "array<struct<k1:bigint,k2:bigint>>"
 
 
-def _text_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _canonical_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's text replaced by the identifiers of its plain form and of its fields; without letter or digit it goes."""
     for b in batches:
-        coded = b.column(1).dictionary_encode()
         plain, fields = [], []
-        for value in coded.dictionary.to_pylist():
+        for value in b.column(b.num_columns - 1).to_pylist():
             p, f = format_free(value)
             plain.append(p)
             fields.append(f)
         ids = digests(plain)
-        lengths = [2 * len(f) for f in fields]
-        tuples = list_array(
-            digests(x for f in fields for x in f).reshape(-1), np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
-        )
-        at = coded.indices
+        ends = np.concatenate([[0], np.cumsum([2 * len(f) for f in fields])]).astype("int32")
+        units = list_array(digests(x for f in fields for x in f).reshape(-1), ends)
         out = pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(ids[:, 0]).take(at), pa.array(ids[:, 1]).take(at), tuples.take(at)],
-            ["seq", "p1", "p2", "fields"],
+            [*b.columns[:-1], pa.array(ids[:, 0]), pa.array(ids[:, 1]), units], [*b.schema.names[:-1], "k1", "k2", "units"]
         )
-        yield out.filter(pa.array([bool(p) for p in plain]).take(at))
+        yield out.filter(pa.array([bool(p) for p in plain]))
 
 
-def text_tuples(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(seq, p1, p2: identifier of the letters and digits, fields: sorted identifiers of the named fields or empty).
+def _hashed(value: F.Column) -> tuple[F.Column, F.Column]:
+    return F.xxhash64(value).alias("h1"), F.xxhash64(F.lit(1), value).alias("h2")
 
-    Nulls and texts without letter or digit have no tuple.
-    """
-    rows = texts.select(F.col(key).cast("long").alias("seq"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    return rows.mapInArrow(_text_tuples, "seq long, p1 long, p2 long, fields array<long>")
+
+def _numbered(keys: DataFrame) -> DataFrame:
+    """A dictionary: the distinct keys, each with an integer of its own. It is stored, so the integers hold from then on."""
+    return stored(keys.distinct().withColumn("id", F.monotonically_increasing_id()))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): the least node that each node of the links (a, b) is connected to. Rounds grow as the logarithm of a chain's length."""
+    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("least"))
+        nearer = labels.join(near, "node").select("node", "root", F.least("root", "least").alias("next"))
+        onward = nearer.select(F.col("node").alias("next"), F.col("next").alias("last"))
+        moved = cut(nearer.join(onward, "next").select("node", "root", F.col("last").alias("next")))
+        labels = moved.select("node", F.col("next").alias("root"))
+        if moved.where("next < root").isEmpty():
+            return labels
 
 
 def text_groups(texts: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
     """(seq, first_seq, copies) of each text that has copies: texts equal in letters and digits, or in their named fields.
 
-    A text without fields that equals one with fields in its letters and digits is in the latter's group.
+    A text without fields that equals one with fields in its letters and digits is in the latter's group. Nulls and texts without
+    letter or digit are in no group.
     """
-    tuples = cut(text_tuples(texts, key, text))
-    plain = tuples.groupBy("p1", "p2").agg(
-        F.min(F.when(F.size("fields") > 0, F.col("fields"))).alias("fields"), F.min("seq").alias("first"), F.count("*").alias("n")
-    )
-    plain = plain.select("p1", "p2", F.coalesce("fields", F.array("p1", "p2")).alias("tuple"), "first", "n")
-    groups = plain.groupBy("tuple").agg(F.min("first").alias("first_seq"), F.sum("n").alias("copies")).where("copies > 1")
-    named = plain.join(groups, "tuple").select("p1", "p2", "first_seq", "copies")
-    return tuples.join(named, ["p1", "p2"]).select("seq", "first_seq", "copies")
-
-
-def _canonical_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        coded = b.column(b.num_columns - 1).dictionary_encode()
-        ids = digests("".join(c for c in v.casefold() if c.isalnum()) for v in coded.dictionary.to_pylist())
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns[:-1], pa.array(ids[:, 0]).take(coded.indices), pa.array(ids[:, 1]).take(coded.indices)],
-            [*b.schema.names[:-1], "v1", "v2"],
-        )
+    rows = texts.select(F.col(key).cast("long").alias("seq"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    values = rows.groupBy(*_hashed(F.col("text"))).agg(F.min("seq").alias("first"), F.count("*").alias("n"), F.first("text").alias("text"))
+    kinds = "h1 long, h2 long, first long, n long, k1 long, k2 long, units array<long>"
+    coded = stored(values.mapInArrow(_canonical_texts, kinds))
+    unit = F.expr("transform(sequence(0, size(units) - 1, 2), i -> struct(units[i] AS k1, units[i + 1] AS k2))").cast(_PAIR)
+    units = coded.where("size(units) > 0").select("h1", "h2", F.explode(unit).alias("u")).select("h1", "h2", "u.*")
+    names = _numbered(units.select("k1", "k2"))
+    tuples = units.join(names, ["k1", "k2"]).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("tuple"))
+    forms = _numbered(coded.select("k1", "k2")).withColumnRenamed("id", "form")
+    values = coded.drop("units").join(forms, ["k1", "k2"]).join(tuples, ["h1", "h2"], "left").select("h1", "h2", "form", "tuple", "first", "n")
+    values = stored(values)
+    held = values.where("tuple IS NOT NULL").select("form", "tuple").distinct()
+    led = held.join(held.groupBy("tuple").agg(F.min("form").alias("leader")), "tuple").select("form", "leader").distinct()
+    span = led.groupBy("form").agg(F.min("leader").alias("leader"), F.max("leader").alias("other"))
+    chains = span.where("leader < other").select("form", F.col("leader").alias("a")).join(led.select("form", F.col("leader").alias("b")), "form")
+    chains = cut(chains.where("a <> b").select("a", "b"))
+    span = span.select("form", "leader")
+    if not chains.isEmpty():
+        roots = components(chains).select(F.col("node").alias("leader"), "root")
+        span = span.join(roots, "leader", "left").select("form", F.coalesce("root", "leader").alias("leader"))
+    forms = values.groupBy("form").agg(F.min("first").alias("first"), F.sum("n").alias("n")).join(span, "form", "left")
+    forms = forms.select("form", F.coalesce("leader", "form").alias("leader"), "first", "n")
+    groups = forms.groupBy("leader").agg(F.min("first").alias("first_seq"), F.sum("n").alias("copies")).where("copies > 1")
+    named = values.select("h1", "h2", "form").join(forms.select("form", "leader"), "form").join(groups, "leader").select("h1", "h2", "first_seq", "copies")
+    return rows.select("seq", *_hashed(F.col("text"))).join(named, ["h1", "h2"]).select("seq", "first_seq", "copies")
 
 
 def record_groups(records: DataFrame, key: str, exact: list[str], canonical: str) -> DataFrame:
@@ -80,24 +103,30 @@ def record_groups(records: DataFrame, key: str, exact: list[str], canonical: str
 
     Records with a null in any of these columns are in no group.
     """
-    rows = records.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*exact, canonical])).select(
-        F.col(key).cast("long").alias("seq"),
-        *(F.xxhash64(*(F.lit(i) for _ in range(i)), c).alias(f"x{n}_{i}") for n, c in enumerate(exact) for i in range(2)),
-        F.col(canonical).alias("value"),
-    )
-    names = [f"x{n}_{i}" for n in range(len(exact)) for i in range(2)]
-    coded = rows.mapInArrow(_canonical_column, "seq long, " + "".join(f"{n} long, " for n in names) + "v1 long, v2 long")
-    coded = cut(coded.select("seq", F.array(*names, "v1", "v2").alias("tuple")))
+    columns = [*exact, canonical]
+    rows = records.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    cells = F.array(*(F.struct(F.lit(n).alias("c"), F.col(c).cast("string").alias("v")) for n, c in enumerate(columns)))
+    values = rows.select(F.explode(cells).alias("x")).groupBy("x.c", *_hashed(F.col("x.v"))).agg(F.first("x.v").alias("v"))
+    form = F.when(F.col("c") == len(exact), plain_key(F.col("v"))).otherwise(F.col("v"))
+    values = stored(values.select("c", "h1", "h2", F.xxhash64(form).alias("k1"), F.xxhash64(F.lit(1), form).alias("k2")))
+    names = stored(values.join(_numbered(values.select("c", "k1", "k2")), ["c", "k1", "k2"]).select("c", "h1", "h2", "id"))
+    hashes = [h.alias(f"{h_}_{n}") for n, c in enumerate(columns) for h_, h in zip(("h1", "h2"), _hashed(F.col(c).cast("string")))]
+    coded = rows.select(F.col(key).cast("long").alias("seq"), *hashes)
+    for n in range(len(columns)):
+        of = names.where(F.col("c") == n).select(F.col("h1").alias(f"h1_{n}"), F.col("h2").alias(f"h2_{n}"), F.col("id").alias(f"id_{n}"))
+        coded = coded.join(of, [f"h1_{n}", f"h2_{n}"]).drop(f"h1_{n}", f"h2_{n}")
+    coded = stored(coded.select("seq", F.sort_array(F.array(*(f"id_{n}" for n in range(len(columns))))).alias("tuple")))
     groups = coded.groupBy("tuple").agg(F.min("seq").alias("first_seq"), F.count("*").alias("copies")).where("copies > 1")
     return coded.join(groups, "tuple").select("seq", "first_seq", "copies")
 
 
 def collapsed_posts(texts: DataFrame, key: str = "seq", text: str = "text") -> DataFrame:
     """One record of each group of texts with its number of copies: (first_seq, copies, text of the first)."""
-    groups = text_groups(texts, key, text).where("seq = first_seq").select(F.col("seq").alias(key), "copies")
-    copies = text_groups(texts, key, text).where("seq <> first_seq").select(F.col("seq").alias(key))
+    groups = stored(text_groups(texts, key, text))
+    first = groups.where("seq = first_seq").select(F.col("seq").alias(key), "copies")
+    copies = groups.where("seq <> first_seq").select(F.col("seq").alias(key))
     return (
         texts.join(copies, key, "left_anti")
-        .join(groups, key, "left")
+        .join(first, key, "left")
         .select(F.col(key).alias("first_seq"), F.coalesce("copies", F.lit(1)).alias("copies"), F.col(text).alias("text"))
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimscope.functions.claim_text import plain_key
 from claimscope.llm import formatcopies, leakage, lookalike, mixing, neardup, patterns, spans
 from claimscope.operators.timestamps import instant_micros
 from claimscope.runtime import cut, table
@@ -30,7 +31,7 @@ def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     """
     claims = table(spark, d, "claim_history").select(
         "author_did",
-        F.lower(F.regexp_replace("claim_fingerprint", r"[^\p{L}\p{N}]", "")).alias("fingerprint"),
+        plain_key(F.col("claim_fingerprint")).alias("fingerprint"),
         F.to_date(F.coalesce(F.timestamp_micros(instant_micros(F.col("created_at"))), F.col("observed_at"))).alias("day"), "fp_kind", "evidence_class",
     )
     return _counted(claims)
@@ -39,7 +40,7 @@ def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 def p4_distinct_by_arrival(spark: SparkSession, d: str) -> DataFrame:
     """As p4_distinct_counts, by day of arrival."""
     claims = table(spark, d, "claim_history").select(
-        "author_did", F.lower(F.regexp_replace("claim_fingerprint", r"[^\p{L}\p{N}]", "")).alias("fingerprint"), F.to_date("observed_at").alias("day"), "fp_kind", "evidence_class"
+        "author_did", plain_key(F.col("claim_fingerprint")).alias("fingerprint"), F.to_date("observed_at").alias("day"), "fp_kind", "evidence_class"
     )
     return _counted(claims)
 

@@ -35,15 +35,16 @@ def test_collation_class_members(spark):
 
 
 def brute_groups(texts):
-    plain, groups = {}, {}
-    for i, t in enumerate(texts):
-        if t is not None and has_text(t):
-            p, f = format_free(t)
-            plain.setdefault(p, []).append((i, f))
-    for p, members in plain.items():
-        named = [tuple(f) for _, f in members if f]
-        groups.setdefault(min(named) if named else p, []).extend(i for i, _ in members)
-    return {(i, min(g), len(g)) for g in groups.values() if len(g) > 1 for i in g}
+    rows = [(i, *format_free(t)) for i, t in enumerate(texts) if t is not None and has_text(t)]
+    group = {i: i for i, _, _ in rows}
+    for (i, p, f), (j, q, g) in combinations(rows, 2):
+        if p == q or f and f == g:
+            old, new = max(group[i], group[j]), min(group[i], group[j])
+            group = {k: new if v == old else v for k, v in group.items()}
+    members = {}
+    for i, g in group.items():
+        members.setdefault(g, []).append(i)
+    return {(i, min(m), len(m)) for m in members.values() if len(m) > 1 for i in m}
 
 
 def test_text_groups(spark):
@@ -55,6 +56,19 @@ def test_text_groups(spark):
     assert (0, 8) in collapsed and sum(n for _, n in collapsed) == len(TEXTS)
 
 
+def test_chains_of_fields_and_letters(spark):
+    """Rows 0 and 1 agree in letters only; 2 and 3 are their fields in another order; 4 and 5 go on from there."""
+    texts = ["ab: c/d: e/f: g", "a: bc/d: e/f: g", "f: g/d: e/a: bc", "f: g/d: e/ab: c", "fg: /d: e/a: bc/x: y", "f: g/de: /a: bc/x: y", "x: y/a: bc/de: /f: g", "other"]
+    got = {tuple(r) for r in formatcopies.text_groups(frame(spark, texts)).collect()}
+    assert got == brute_groups(texts) and {i for i, first, _ in got if first == 0} == {0, 1, 2, 3}
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101)], "a long, b long")
+    got = {r.node: r.root for r in formatcopies.components(links).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
 def test_hot_group_and_claims(spark):
     rows = [(i, "a", "u", ["d0b8782c", "D0B8-782C", " d0b8 782c\n", "'d0b8782c'"][i % 4], i) for i in range(3000)]
     rows += [(3000, None, "u", "d0b8782c", 1), (3001, "a", None, "d0b8782c", 1), (3002, "a", "u", None, 1), (3003, "a", "u", "ffff", 1), (3003, "a", "u", "ffff", 1)]
