@@ -25,15 +25,20 @@ def p3_actor_differences(spark: SparkSession, d: str) -> DataFrame:
     return right.join(held, "did").where("handle <> held_handle OR is_active <> held_active").select("did", "handle", "is_active", "held_handle", "held_active")
 
 
+def _hourly(spark: SparkSession, d: str) -> late_events.HourlyCounts:
+    """The stream of post_events, eight files a batch."""
+    return late_events.HourlyCounts(spark, late_events.event_instants(table(spark, d, "posts"))).run(f"{d}/post_events.parquet", files_per_batch=8)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    right = late_events.HourlyCounts(spark, late_events.event_instants(table(spark, d, "posts"))).run(f"{d}/post_events.parquet")
-    return late_events.differences(right.current(), table(spark, d, "fingerprint_hourly"))
+    return late_events.differences(_hourly(spark, d).current(), table(spark, d, "fingerprint_hourly"))
 
 
 def p5_late_report(spark: SparkSession, d: str) -> DataFrame:
-    """How many diverted records, by whole days after the cut-off."""
-    done = late_events.HourlyCounts(spark, late_events.event_instants(table(spark, d, "posts"))).run(f"{d}/post_events.parquet")
-    return done.late().groupBy(F.floor(F.col("late_us") / (24 * late_events.HOUR)).alias("days_late")).agg(F.count("*").alias("events"))
+    """How many deliveries came after the cut-off, of how many events, by whole days after it."""
+    late = _hourly(spark, d).late()
+    days = F.floor(F.col("late_us") / (24 * late_events.HOUR)).alias("days_late")
+    return late.groupBy(days).agg(F.count("*").alias("deliveries"), F.countDistinct("event_uri").alias("events"))
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_actor_differences": p3_actor_differences, "p5_found": p5_found, "p5_late_report": p5_late_report}

@@ -39,23 +39,40 @@ def expected(posts, events):
 EVENTS = "event_no long, event_uri string, ctime timestamp_ntz, author string, claim_fingerprint string"
 
 
+def late_ones(posts, events):
+    at = {u: datetime.fromisoformat(c[:-1]) for _, u, c, _ in posts if c != "n/a"}
+    return sorted(e[0] for e in events if e[1] in at and e[2] - at[e[1]] > timedelta(hours=72))
+
+
 def test_batches_agree(spark, tmp_path):
+    """One batch and eight give the same totals and the same late deliveries, and so does a driver that goes on in the folder."""
     posts, events = feed()
     instants = le.event_instants(spark.createDataFrame(posts, "seq long, uri string, created_at string, client_zone string"))
-    want = expected(posts, events)
-    for parts in (1, 4):
-        folder = str(tmp_path / f"feed{parts}")
+    for parts in (1, 8):
+        folder, state = str(tmp_path / f"feed{parts}"), str(tmp_path / f"state{parts}")
         for k in range(parts):
             spark.createDataFrame(events[k::parts], EVENTS).coalesce(1).write.mode("append").parquet(folder)
-        counts = le.HourlyCounts(spark, instants, folder=str(tmp_path / f"state{parts}")).run(folder, files_per_batch=1 if parts > 1 else None)
-        assert len(counts.batches) == parts
-        assert sorted(map(tuple, counts.current().collect())) == want
-        last = counts.batches[-1]
-        counts.process(spark.createDataFrame(events[parts - 1 :: parts], EVENTS), last) if parts == 1 else None  # a replay overwrites itself
-        assert sorted(map(tuple, counts.current().collect())) == want
-        assert counts.late().where("late_us <= 0").count() == 0
-        # a driver that starts anew finds the state in the folder
-        assert sorted(map(tuple, le.HourlyCounts(spark, instants, folder=counts.folder).current().collect())) == want
+        counts = le.HourlyCounts(spark, instants, buckets=4, folder=state).run(folder, files_per_batch=1 if parts > 1 else None)
+        assert sorted(map(tuple, counts.current().collect())) == expected(posts, events)
+        assert sorted(r.event_no for r in counts.late().collect()) == late_ones(posts, events)
+        more = [(9000, "u0", T0, "z", "f9"), (9001, "u1", T0 + timedelta(days=30), "z", "f9")]
+        spark.createDataFrame(more, EVENTS).coalesce(1).write.mode("append").parquet(folder)
+        again = le.HourlyCounts(spark, instants, buckets=4, folder=state).run(folder)
+        assert len(again.batches) >= 2
+        assert sorted(map(tuple, again.current().collect())) == expected(posts, events + more)
+        assert sorted(r.event_no for r in again.late().collect()) == late_ones(posts, events + more)
+
+
+def test_state_goes_with_the_watermark(spark, tmp_path):
+    """Behind the watermark an event's state is gone: what still comes in time for its event is diverted, not counted twice."""
+    instants = spark.createDataFrame([("u", 0), ("v", 200 * 24 * le.HOUR)], "event_uri string, event_us long")
+    folder = str(tmp_path / "feed")
+    start = datetime(1970, 1, 1)
+    for k, (uri, day) in enumerate([("u", 1), ("v", 200), ("v", 201), ("u", 2)]):
+        spark.createDataFrame([(k, uri, start + timedelta(days=day), "a", "f")], EVENTS).coalesce(1).write.mode("append").parquet(folder)
+        counts = le.HourlyCounts(spark, instants, disorder_days=1, buckets=2, folder=str(tmp_path / "state")).run(folder)
+    assert sorted(map(tuple, counts.current().collect())) == [("f", 0, 1, 1), ("f", 200 * 86400, 1, 1)]
+    assert [(r.event_no, r.outcome) for r in counts.late().collect()] == [(3, "behind")]
 
 
 def test_differences_and_single_file(spark, tmp_path):
