@@ -71,13 +71,24 @@ def signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers with a non-empty set, the sets one after another, and where each begins."""
-    sets = [shingle_ids(t, k) for t in b.column(1).to_pylist()]
-    rows = np.array([i for i, s in enumerate(sets) if s], np.int64)
-    flat = np.array([x for s in sets for x in s], np.uint64)
-    sizes = np.array([len(sets[i]) for i in rows], np.int64)
-    return rows, flat, np.concatenate([[0], np.cumsum(sizes)])
+def _prepared(like: Likeness):
+    """(seq, shingles, sketch) of each text with a shingle; the sketch is the lowest byte of each signature value, enough to compare by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_ids(t, like.words) for t in b.column(1).to_pylist()]
+            rows = np.array([i for i, s in enumerate(sets) if s], np.int64)
+            if not len(rows):
+                continue
+            flat = np.array([x for s in sets for x in s], np.uint64)
+            offsets = np.concatenate([[0], np.cumsum([len(sets[i]) for i in rows])])
+            sig = np.ascontiguousarray(signatures(flat, offsets[:-1]).astype(np.uint8).T)
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIGNATURE), len(rows), [None, pa.py_buffer(sig)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b.column(0).to_numpy()[rows]), list_array(flat.view(np.int64), offsets.astype(np.int32)), sketch.cast(pa.binary())], ["seq", "shingles", "sketch"]
+            )
+
+    return run
 
 
 #: kinds of band rows: a member of a bucket, a marked bucket, a member for the exact way.
@@ -88,19 +99,21 @@ def _bands(like: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.empty(0, np.int64)
         for b in batches:
-            rows, flat, offsets = _sets(b, like.words)
-            if not len(rows):
+            if not b.num_rows:
                 continue
-            sig = signatures(flat, offsets[:-1]).astype(np.uint64)
-            keys = np.empty((len(rows), like.bands), np.uint64)
+            sets = b.column(1)
+            starts = sets.offsets.to_numpy()
+            flat = sets.values.to_numpy()[starts[0] : starts[-1]].view(np.uint64)
+            sig = signatures(flat, (starts - starts[0])[:-1]).astype(np.uint64)
+            keys = np.empty((b.num_rows, like.bands), np.uint64)
             for j in range(like.bands):
-                h = np.full(len(rows), j * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+                h = np.full(b.num_rows, j * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
                 for v in sig[j * like.rows : (j + 1) * like.rows]:
                     h = (h ^ v) * np.uint64(0xFF51AFD7ED558CCD)
                     h ^= h >> np.uint64(32)
                 keys[:, j] = h
             keys = keys.view(np.int64)
-            seq = b.column(0).to_numpy()[rows]
+            seq = b.column(0).to_numpy()
             found, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
             often = (count > like.bucket_limit) | np.isin(found, known)
             marks = found[often & ~np.isin(found, known)]
@@ -170,31 +183,6 @@ def _candidates(limit: int):
     return run
 
 
-def _sketches(like: Likeness):
-    """(seq, sketch): the lowest byte of each signature value, enough to compare by."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, flat, offsets = _sets(b, like.words)
-            if len(rows):
-                sig = np.ascontiguousarray(signatures(flat, offsets[:-1]).astype(np.uint8).T)
-                sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIGNATURE), len(rows), [None, pa.py_buffer(sig)])
-                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[rows]), sketch.cast(pa.binary())], ["seq", "sketch"])
-
-    return run
-
-
-def _shingle_sets(like: Likeness):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, flat, offsets = _sets(b, like.words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(b.column(0).to_numpy()[rows]), list_array(flat.view(np.int64), offsets.astype(np.int32))], ["seq", "shingles"]
-            )
-
-    return run
-
-
 def _plausible(like: Likeness):
     """Of pairs with both sketches, those whose posterior chance of reaching the threshold stays at miss or above.
 
@@ -244,19 +232,22 @@ def similar_pairs(texts: DataFrame, like: Likeness = Likeness(), key: str = "seq
     shingle, have an empty set and no pair. Of a repeated key any one row counts.
     """
     rows = texts.select(F.col(key).cast("long").alias("seq"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    rows = stored(rows.dropDuplicates(["seq"]))
-    bands = rows.mapInArrow(_bands(like), "bucket long, kind byte, seq long")
+    rows = stored(rows.mapInArrow(_prepared(like), "seq long, shingles array<long>, sketch binary"))
+    repeated = cut(rows.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1").select("seq"))
+    if not repeated.isEmpty():  # keys are meant to be unique, so only they are compared to find out
+        once = rows.join(repeated, "seq", "left_semi").groupBy("seq").agg(F.min(F.struct("shingles", "sketch")).alias("x")).select("seq", "x.*")
+        rows = stored(rows.join(repeated, "seq", "left_anti").unionByName(once))
+    bands = rows.select("seq", "shingles").mapInArrow(_bands(like), "bucket long, kind byte, seq long")
     spread = bands.repartition(F.col("bucket")).sortWithinPartitions("bucket", "seq")
     found = cut(spread.mapInArrow(_candidates(like.bucket_limit), "a long, b long").distinct())
 
     def sets(wanted: DataFrame) -> DataFrame:
-        return rows.join(wanted, "seq", "left_semi").mapInArrow(_shingle_sets(like), "seq long, shingles array<long>")
+        return rows.select("seq", "shingles").join(wanted, "seq", "left_semi")
 
     pairs, hot = found.where("b IS NOT NULL"), found.where("b IS NULL").select(F.col("a").alias("seq"))
     if not hot.isEmpty():
         pairs = pairs.union(_rare_pairs(cut(sets(hot)), like)).distinct()
-    sketches = rows.mapInArrow(_sketches(like), "seq long, sketch binary")
-    likely = cut(_sides(pairs, sketches, "sketch").mapInArrow(_plausible(like), "a long, b long"))
+    likely = cut(_sides(pairs, rows, "sketch").mapInArrow(_plausible(like), "a long, b long"))
     both = _sides(likely, sets(likely.select(F.explode(F.array("a", "b")).alias("seq")).distinct()), "shingles")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     similarity = common / (F.size("shingles_a") + F.size("shingles_b") - common)
