@@ -9,10 +9,14 @@ small rest. Which documents of a length get the extra repeat is settled by a see
 from __future__ import annotations
 
 import base64
+import math
+import os
 from collections.abc import Iterator
 
-import pyarrow as pa
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -24,15 +28,15 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents of a source and length are spread over so many hash cells, to rank them without one task holding them all.
 CELLS = 4096
-#: The knapsack table covers at most so many tokens; the proportional part leaves no more than that.
-TABLE = 1 << 16
+#: Tokens that the proportional part leaves to the knapsack table, at least; with longer documents three times the longest.
+ROOM = 1 << 15
 
 
-def _lengths(path: str):
+def _lengths(file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(SparkFiles.get(file), "rb"))}
         enc = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             n = [len(enc.encode_ordinary(t)) for t in b.column(2).to_pylist()]
@@ -42,17 +46,22 @@ def _lengths(path: str):
 
 
 def token_lengths(docs: DataFrame, tokenizer: str = TOKENIZER, text: str = "text") -> DataFrame:
-    """(doc_id, source, n_tokens) of each document with a source and a text; one row for each row given."""
+    """(doc_id, source, n_tokens) of each document with a source and a text; one row for each row given.
+
+    tokenizer: a vocabulary file that the driver can read; it is sent to the executors.
+    """
+    docs.sparkSession.sparkContext.addFile(tokenizer)
     rows = docs.where(F.col(text).isNotNull() & F.col("source").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(text).alias("text"))
-    return rows.mapInArrow(_lengths(tokenizer), "doc_id long, source string, n_tokens long").where("n_tokens > 0")
+    return rows.mapInArrow(_lengths(os.path.basename(tokenizer)), "doc_id long, source string, n_tokens long").where("n_tokens > 0")
 
 
 def fit(budget: int, lengths: list[int], counts: list[int]) -> list[int]:
     """How many of each length to take so that their sum is as near below budget as can be found; never above.
 
-    The proportional part keeps the mix of lengths. The rest is filled from the largest length down until it is
-    within the table; the table is exact for it: bits of a set are the sums that can be reached.
+    The proportional part keeps the mix of lengths. What it leaves is filled from the largest length down until the rest is a few of the
+    longest documents, for which a bounded-knapsack table is exact: no other choice from what is left comes nearer. The table has a cell
+    a token of that rest (five bytes; in units of the lengths' common divisor).
     """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
@@ -60,30 +69,33 @@ def fit(budget: int, lengths: list[int], counts: list[int]) -> list[int]:
     if budget <= 0 or not lengths:
         return [0] * len(lengths)
     # leave room for the table: it is exact, the proportional part is not
-    room = min(budget, TABLE // 2)
+    room = min(budget, max(ROOM, 3 * max(lengths)))
     take = [(budget - room) * c // total for c in counts]
     rest = budget - sum(n * t for n, t in zip(lengths, take))
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     for i in order:
-        if rest <= TABLE:
-            break
-        more = min(counts[i] - take[i], (rest - room) // lengths[i])
-        take[i] += max(0, more)
-        rest -= max(0, more) * lengths[i]
-    target = min(rest, TABLE)
-    mask, reach, steps = (1 << (target + 1)) - 1, 1, []
+        more = max(0, min(counts[i] - take[i], (rest - room) // lengths[i]))
+        take[i] += more
+        rest -= more * lengths[i]
+    unit = math.gcd(*lengths)
+    target = rest // unit
+    by = np.full(target + 1, -1, np.int32)  # the step that first reached a sum
+    reach, steps = np.zeros(target + 1, bool), []
+    reach[0] = True
     for i in order:  # binary splitting of the number that is left of each length
-        left, part = min(counts[i] - take[i], target // lengths[i]), 1
-        while left > 0 and not reach >> target & 1:
+        size = lengths[i] // unit
+        left, part = min(counts[i] - take[i], target // size), 1
+        while left > 0 and not reach[target]:
             n = min(part, left)
-            steps.append((i, n, reach))
-            reach |= (reach << (n * lengths[i])) & mask
+            fresh = np.flatnonzero(reach[: target + 1 - n * size] & ~reach[n * size :]) + n * size
+            by[fresh], reach[fresh] = len(steps), True
+            steps.append((i, n))
             left, part = left - n, part * 2
-    at = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * lengths[i]
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        i, n = steps[by[at]]
+        take[i] += n
+        at -= n * (lengths[i] // unit)
     return take
 
 

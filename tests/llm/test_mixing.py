@@ -26,6 +26,14 @@ def test_fit_of_large_budgets(spark):
         assert sum(n * g for n, g in zip(lengths, got)) == budget and all(g <= c for g, c in zip(got, counts))
 
 
+@pytest.mark.parametrize("budget,lengths,counts,best", [
+    (230_000, [100_000], [5], 200_000), (130_000, [100_000, 65_000], [1, 2], 130_000), (1_000_000, [300_001, 7], [3, 20_000], 999_998), (99_999, [100_000], [5], 0), (10**8 + 3, [70_000, 90_000], [900, 900], 10**8),
+])
+def test_fit_of_long_documents(budget, lengths, counts, best):
+    got = mixing.fit(budget, lengths, counts)
+    assert sum(n * g for n, g in zip(lengths, got)) == best and all(g <= c for g, c in zip(got, counts))
+
+
 def rows(spark):
     out = [(i, "big", 10 + i % 7) for i in range(3000)] + [(10_000 + i, "small", 5 + i % 3) for i in range(100)] + [(20_000 + i, "same", 8) for i in range(400)]
     return spark.createDataFrame(out, "doc_id long, source string, n_tokens long"), spark.createDataFrame([("big", 0.5, 1), ("small", 0.2, 4), ("same", 0.3, 3), ("none", 0.0, 2), ("void", 0.1, 2)], "source string, target_share double, max_repeats int")
