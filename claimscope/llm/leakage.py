@@ -7,7 +7,7 @@ its positions back by the term's place, and keeps the starts that the other list
 all lists agree with is an exact phrase. A proximity match is a place where a stated share of the words stand within a few
 words of where the phrase has them, whichever words those are. No postings are shuffled.
 
-Items are sent to the tasks in blocks of bounded size, as many blocks as it takes.
+Items' windows are made by the tasks and stored, and sent to the shards in blocks of bounded size, one block at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.llm.textform import words
-from claimscope.runtime import scratch
+from claimscope.runtime import cut, scratch, stored
 
 RUN, ANCHORS, SHARE = 10, 3, 0.8
 #: Tokens of a shard, and documents at most; windows of a block of items.
@@ -207,6 +207,19 @@ def _near(items: np.ndarray, wins: np.ndarray, windows: np.ndarray, order: np.nd
     return search
 
 
+def _windows(run: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            item, win, terms = [], [], []
+            for key, text in zip(*(c.to_pylist() for c in b.columns)):
+                t = [_term(w) for w in words(text)]
+                for i in range(len(t) - run + 1):
+                    item.append(key), win.append(i), terms.append(t[i : i + run])
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(win, pa.int64()), pa.array(terms, pa.list_(pa.int64()))], ["item", "win", "terms"])
+
+    return make
+
+
 def _counts(vocabulary: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,26 +245,22 @@ class PositionalIndex:
         rows.mapInArrow(_shards, kinds).write.mode("overwrite").parquet(path)
         return cls(docs.sparkSession, path)
 
-    def _blocks(self, items: DataFrame, key: str, text: str, run: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Windows of the items, in blocks; the items themselves are read one after another, never all at once."""
-        held: list[tuple[int, int, list[int]]] = []
-        rows = items.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-        for item, t in rows.distinct().toLocalIterator():
-            w = [_term(x) for x in words(t)]
-            held += [(item, i, w[i : i + run]) for i in range(len(w) - run + 1)]
-            if len(held) >= BLOCK:
-                yield tuple(np.array([h[j] for h in held], np.int64) for j in range(3))
-                held = []
-        if held:
-            yield tuple(np.array([h[j] for h in held], np.int64) for j in range(3))
-
     def _found(self, items: DataFrame, key: str, text: str, run: int, search) -> DataFrame:
-        kinds, out = "doc long, item long, win long, start long, slack long", None
+        """The search of all windows. They are made by the tasks and stored; the driver holds one block of them at a time."""
+        kinds = "doc long, item long, win long, start long, slack long"
+        rows = items.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+        windows = rows.mapInArrow(_windows(run), "item long, win long, terms array<long>").distinct()
+        windows = cut(windows)
+        blocks = math.ceil(windows.count() / BLOCK)
         shards = self.spark.read.parquet(self.path)
-        for block in self._blocks(items, key, text, run):
-            part = shards.mapInArrow(search(shards, block), kinds)
-            out = part if out is None else out.unionByName(part)
-        return out if out is not None else self.spark.createDataFrame([], kinds)
+        found = self.spark.createDataFrame([], kinds)
+        for n in range(blocks):
+            part = windows.where(F.pmod(F.xxhash64("item", "win"), F.lit(blocks)) == n).toArrow()
+            terms = part.column("terms").combine_chunks().flatten().to_numpy().reshape(-1, run)
+            block = part.column("item").to_numpy(), part.column("win").to_numpy(), terms
+            hits = shards.mapInArrow(search(shards, block), kinds)
+            found = found.unionByName(hits if blocks == 1 else stored(hits))
+        return found
 
     def phrases(self, items: DataFrame, run: int = RUN, key: str = "item_id", text: str = "text") -> DataFrame:
         """(doc, item, win, start): the document holds the item's words from win on, run of them, at its word start."""
