@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def memberships(rows: DataFrame, identifier: Column, cell: dict[str, Column]) -> DataFrame:
-    """(id1, id2, cell): each identifier's cells, once each. Null identifiers are counted nowhere; null groups are a group."""
+def memberships(rows: DataFrame, identifier: Column, cell: dict[str, Column], within: dict[str, Column] | None = None) -> DataFrame:
+    """(*within, id1, id2, cell): each identifier's cells, once each. Null identifiers are counted nowhere; null groups are a group.
+
+    ``within`` names groups that no combination crosses: patterns are then of one such group, and no longer than it has cells.
+    """
     ids = [F.xxhash64(identifier), F.xxhash64(F.lit(1), identifier)]
     return (
         rows.where(identifier.isNotNull())
-        .select(ids[0].alias("id1"), ids[1].alias("id2"), F.struct(*(c.alias(n) for n, c in cell.items())).alias("cell"))
+        .select(*(c.alias(n) for n, c in (within or {}).items()), ids[0].alias("id1"), ids[1].alias("id2"), F.struct(*(c.alias(n) for n, c in cell.items())).alias("cell"))
         .distinct()
     )
 
@@ -34,20 +37,21 @@ def merge(*parts: DataFrame) -> DataFrame:
 
 
 def patterns(members: DataFrame) -> DataFrame:
-    """(pattern, identifiers): how many identifiers lie in exactly these cells.
+    """(*within, pattern, identifiers): how many identifiers lie in exactly these cells.
 
     A pattern is at most as long as there are cells, whatever the number of rows an identifier has.
     """
+    within = [c for c in members.columns if c not in ("id1", "id2", "cell")]
     return (
-        members.groupBy("id1", "id2")
+        members.groupBy(*within, "id1", "id2")
         .agg(F.sort_array(F.collect_list("cell")).alias("pattern"))
-        .groupBy("pattern")
+        .groupBy(*within, "pattern")
         .agg(F.count("*").alias("identifiers"))
     )
 
 
 def combination_counts(totals: DataFrame, groups: list[str]) -> DataFrame:
-    """(grouping, *groups, n): distinct identifiers for every combination of the groups, from pattern totals.
+    """(*within, grouping, *groups, n): distinct identifiers for every combination of the groups, from pattern totals.
 
     grouping names the columns that are held fixed ('' for all rows together); the others are null in that row.
     """
@@ -64,12 +68,13 @@ def combination_counts(totals: DataFrame, groups: list[str]) -> DataFrame:
             )
         )
 
+    within = [c for c in totals.columns if c not in ("pattern", "identifiers")]
     views = [view(kept) for n in range(len(groups) + 1) for kept in combinations(groups, n)]
     return (
-        totals.select(F.explode(F.flatten(F.array(*views))).alias("v"), "identifiers")
-        .groupBy("v")
+        totals.select(*within, F.explode(F.flatten(F.array(*views))).alias("v"), "identifiers")
+        .groupBy(*within, "v")
         .agg(F.sum("identifiers").alias("n"))
-        .select("v.grouping", *(F.col(f"v.{g}") for g in groups), "n")
+        .select(*within, "v.grouping", *(F.col(f"v.{g}") for g in groups), "n")
     )
 
 

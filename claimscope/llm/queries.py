@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimscope.functions.claim_text import plain_key
 from claimscope.llm import formatcopies, leakage, lookalike, mixing, neardup, patterns, spans
 from claimscope.operators.timestamps import instant_micros
-from claimscope.runtime import cut, table
+from claimscope.runtime import cut, stored, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,18 +38,21 @@ def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_distinct_by_arrival(spark: SparkSession, d: str) -> DataFrame:
-    """As p4_distinct_counts, by day of arrival."""
+    """As p4_distinct_counts, by day of arrival, from two parts that are kept apart: live claims and the others."""
     claims = table(spark, d, "claim_history").select(
-        "author_did", plain_key(F.col("claim_fingerprint")).alias("fingerprint"), F.to_date("observed_at").alias("day"), "fp_kind", "evidence_class"
+        "author_did", plain_key(F.col("claim_fingerprint")).alias("fingerprint"), F.to_date("observed_at").alias("day"), "fp_kind", "evidence_class", "provenance"
     )
-    return _counted(claims)
+    live = F.coalesce(F.col("provenance") == "jetstream", F.lit(False))
+    return _counted(claims.where(live), claims.where(~live))
 
 
-def _counted(claims: DataFrame) -> DataFrame:
+def _counted(*parts: DataFrame) -> DataFrame:
+    """Counts over all parts. Of several, each part's memberships are stored for themselves and then merged."""
     groups = ["day", "fp_kind", "evidence_class"]
     out = None
     for name in ("author_did", "fingerprint"):
-        totals = patterns.patterns(patterns.memberships(claims, F.col(name), {g: F.col(g) for g in groups}))
+        members = [patterns.memberships(p, F.col(name), {g: F.col(g) for g in groups}) for p in parts]
+        totals = patterns.patterns(members[0] if len(parts) == 1 else patterns.merge(*map(stored, members)))
         part = patterns.combination_counts(totals, groups).select(F.lit(name).alias("identifier"), "grouping", F.col("day").cast("string").alias("day"), "fp_kind", "evidence_class", "n", F.lit(0.0).alias("error_bound"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -57,12 +60,12 @@ def _counted(claims: DataFrame) -> DataFrame:
 
 def p4_day_authors(spark: SparkSession, d: str) -> DataFrame:
     """Distinct authors of a fingerprint in a day of arrivals, beside what adding up its hourly figures would give."""
-    events = table(spark, d, "post_events").select("author", F.col("claim_fingerprint").alias("fingerprint"), F.to_date("ctime").alias("day"), F.date_trunc("hour", "ctime").alias("hour"))
-    totals = patterns.patterns(patterns.memberships(events, F.col("author"), {c: F.col(c) for c in ("fingerprint", "day", "hour")}))
-    counts = patterns.combination_counts(totals, ["fingerprint", "day", "hour"])
-    by_day = counts.where("grouping = 'fingerprint+day'").select("fingerprint", "day", F.col("n").alias("authors"))
-    added = counts.where("grouping = 'fingerprint+day+hour'").groupBy("fingerprint", "day").agg(F.sum("n").alias("added_up"))
-    return by_day.join(added, ["fingerprint", "day"]).select("fingerprint", F.col("day").cast("string").alias("day"), "authors", "added_up")
+    hour = F.hour("ctime").alias("hour")
+    events = table(spark, d, "post_events").select("author", F.col("claim_fingerprint").alias("fingerprint"), F.to_date("ctime").alias("day"), hour).where("fingerprint IS NOT NULL AND day IS NOT NULL")
+    totals = patterns.patterns(patterns.memberships(events, F.col("author"), {"hour": F.col("hour")}, {"fingerprint": F.col("fingerprint"), "day": F.col("day")}))
+    counts = patterns.combination_counts(totals, ["hour"])
+    authors, added = F.sum(F.when(F.col("grouping") == "", F.col("n"))), F.sum(F.when(F.col("grouping") == "hour", F.col("n")))
+    return counts.groupBy("fingerprint", F.col("day").cast("string").alias("day")).agg(authors.alias("authors"), added.alias("added_up"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +126,12 @@ def p10_duplicate_lines(spark: SparkSession, d: str) -> DataFrame:
     return spans.duplicate_units(table(spark, d, "documents"))
 
 
+def p10_deduplicated(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each document without the lines that an earlier one holds, as pieces of the text as stored."""
+    return spans.without_duplicates(table(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_known_pairs, p4_distinct_counts, p4_distinct_by_arrival, p4_day_authors, p6_found, p6_consistent_forms, p7_found, p7_claim_copies,
-    p7_collapsed_posts, p8_found, p8_near_matches, p9_mixture, p9_shares, p10_found, p10_shared_lengths, p10_duplicate_lines,
+    p7_collapsed_posts, p8_found, p8_near_matches, p9_mixture, p9_shares, p10_found, p10_shared_lengths, p10_duplicate_lines, p10_deduplicated,
 )}

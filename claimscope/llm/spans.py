@@ -1,12 +1,14 @@
 """Long exact spans shared between records (problem 10).
 
-``duplicate_units`` hashes lines or paragraphs: digests are grouped globally, the earliest ranked occurrence of each unit
-stays and the others are listed for removal with their offsets in the text as stored.
+``duplicate_units`` hashes lines or paragraphs: units are normalised (consistent form, one case, white space collapsed), their digests
+grouped globally, the earliest ranked occurrence of each stays and the others are listed with their offsets in the text as stored;
+``without_duplicates`` removes them.
 
 Lines alone can't show every shared passage, as one may begin and end inside a line. ``shared_spans`` therefore cuts units by
 content: of every ``least - unit + 1`` neighbouring runs of ``unit`` characters the one with the smallest hash is taken. Two
 texts that share ``least`` characters then always have such a unit in common, wherever the passage lies. Digests of units are
-grouped globally as before; texts that share one are compared around it, exactly as stored.
+grouped globally as before; texts that share one are compared around it, exactly as stored. Of equal texts only the first takes
+part; the pairs of its copies follow from its own.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimscope.llm.arrow import digests
-from claimscope.runtime import cut
+from claimscope.llm.textform import collapse, consistent
+from claimscope.runtime import cut, stored
 
 LEAST, UNIT = 300, 120
 #: Characters that one pass of the hash covers; longer texts are covered in overlapping pieces.
@@ -204,7 +207,10 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     doc_a < doc_b; offsets count code points of the text as stored. Nulls, empty and shorter texts share nothing.
     Equal texts give one run. Where both texts repeat with one period, the runs given cover all that any alignment does.
     """
-    units = cut(content_units(docs, key, text, least, unit))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.length("text") >= least)
+    copies = _copies(rows)
+    firsts = rows.join(copies.where("doc <> first").select("doc"), "doc", "left_anti")
+    units = cut(content_units(firsts, "doc", "text", least, unit))
     held = units.groupBy("unit").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("unit")
     common = units.join(held, "unit")
     a, b = common.alias("a"), common.alias("b")
@@ -212,15 +218,37 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least
         F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b"), F.struct(F.col("a.pos").alias("pa"), F.col("a.step").alias("sa"), F.col("b.pos").alias("pb"), F.col("b.step").alias("sb")).alias("at"),
     )
     pairs = cut(met.groupBy("doc_a", "doc_b").agg(F.collect_set("at").alias("anchors")))
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     ids = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct()
-    texts = texts.join(ids, "doc", "left_semi").dropDuplicates(["doc"])
+    texts = firsts.join(ids, "doc", "left_semi").dropDuplicates(["doc"])
     both = (
         pairs.join(texts.select(F.col("doc").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
         .join(texts.select(F.col("doc").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
         .select("doc_a", "doc_b", "text_a", "text_b", "anchors")
     )
-    return both.mapInArrow(_runs(least, unit), "doc_a long, doc_b long, start_a long, start_b long, length long")
+    runs = both.mapInArrow(_runs(least, unit), "doc_a long, doc_b long, start_a long, start_b long, length long")
+    return _of_copies(runs, copies)
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """(doc, first, length) of each text that has copies; the first is the smallest of its key."""
+    named = rows.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").cast("long").alias("length")).distinct()
+    groups = named.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    return stored(named.join(groups, ["h1", "h2"]).select("doc", "first", "length"))
+
+
+def _of_copies(runs: DataFrame, copies: DataFrame) -> DataFrame:
+    """The runs between first texts as those of all their copies, and the copies' own: as long as what is asked for."""
+    more = copies.select(F.col("first"), F.col("doc").alias("copy"))
+    for c, o in ("ab", "ba"):
+        runs = runs.join(more.withColumnRenamed("first", f"doc_{c}"), f"doc_{c}", "left")
+        runs = runs.select(F.coalesce("copy", f"doc_{c}").alias(f"doc_{c}"), f"doc_{o}", f"start_{c}", f"start_{o}", "length")
+    swap = F.col("doc_a") > F.col("doc_b")
+    either = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    runs = runs.select(either("doc_a", "doc_b", "doc_a"), either("doc_b", "doc_a", "doc_b"), either("start_a", "start_b", "start_a"), either("start_b", "start_a", "start_b"), "length")
+    x, y = copies.alias("x"), copies.alias("y")
+    same = x.join(y, F.expr("x.first = y.first AND x.doc < y.doc"))
+    zero = F.lit(0).cast("long")
+    return runs.unionByName(same.select(F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"), zero.alias("start_a"), zero.alias("start_b"), F.col("x.length").alias("length")))
 
 
 def _lines(separator: str, least: int):
@@ -235,7 +263,7 @@ def _lines(separator: str, least: int):
                         lead = len(part) - len(part.lstrip(" \t\r\n"))
                         docs.append(doc), no.append(k), starts.append(at + lead), ends.append(at + lead + len(unit)), units.append(unit)
                     at += len(part) + len(separator)
-            ids = digests(units)
+            ids = digests(collapse(consistent(u)).casefold() for u in units)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(docs, pa.int64()), pa.array(no, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(ids[:, 0]), pa.array(ids[:, 1])],
                 ["doc", "unit_no", "start", "end", "u1", "u2"],
@@ -245,7 +273,7 @@ def _lines(separator: str, least: int):
 
 
 def duplicate_units(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n", least: int = 1) -> DataFrame:
-    """(doc, unit_no, start, end, kept_doc, kept_unit_no) of each line that an earlier one equals but for blanks at its ends.
+    """(doc, unit_no, start, end, kept_doc, kept_unit_no) of each line that equals an earlier one when normalised.
 
     Rank is the order of (key, unit number). start and end are offsets into the text as stored, so cutting them out removes
     the duplicates. Nulls and empty lines have no unit; a unit may occur in any number of texts.
@@ -261,6 +289,28 @@ def duplicate_units(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     return units.join(first, ["u1", "u2"]).where("doc <> kept_doc OR unit_no <> kept_unit_no").drop("u1", "u2")
 
 
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        doc, start, end, part = [], [], [], []
+        for key, text, removed in zip(*(c.to_pylist() for c in b.columns)):
+            at = 0
+            for lo, hi in [*((r["start"], r["end"]) for r in removed or []), (len(text), len(text))]:
+                if text[at:lo].strip():
+                    doc.append(key), start.append(at), end.append(lo), part.append(text[at:lo])
+                at = hi
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(part, pa.string())], ["doc_id", "start", "end", "text"])
+
+
+def without_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n", least: int = 1) -> DataFrame:
+    """(doc_id, start, end, text): the pieces of each text that are left without its duplicate units, with their original offsets.
+
+    Pieces of white space alone are left out; a text of which nothing is left has no row. A repeated key is one text's.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull()).dropDuplicates(["doc"])
+    removed = duplicate_units(rows, "doc", "text", separator, least).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    return rows.join(removed, "doc", "left").mapInArrow(_cut_out, "doc_id long, start long, end long, text string")
+
+
 def shared_lengths(runs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, shared_chars, partners) of each text with a shared run: characters covered by its runs, once each."""
     sides = runs.select(F.col("doc_a").alias(key), F.col("start_a").alias("s"), "length", F.col("doc_b").alias("partner")).union(

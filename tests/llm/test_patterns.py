@@ -50,3 +50,13 @@ def test_empty_and_nulls(spark):
     assert patterns.combination_counts(patterns.patterns(members(spark, []).limit(0)), GROUPS).count() == 0
     totals = patterns.patterns(members(spark, [(None, "d1", "x", "")]))
     assert totals.count() == 0 and patterns.union_count(totals, lambda c: F.lit(True)).first()[0] == 0
+
+
+def test_patterns_within_a_group(spark):
+    """Counts that no combination crosses are those of each group by itself."""
+    data = rows()
+    df = spark.createDataFrame(data, "id string, day string, kind string, cell string")
+    totals = patterns.patterns(patterns.memberships(df, F.col("id"), {"day": F.col("day")}, {"kind": F.col("kind")}))
+    got = {(r.kind, r.grouping, r.day): r.n for r in patterns.combination_counts(totals, ["day"]).collect()}
+    want = {(k[2], "", None): n for k, n in brute(data).items() if k[0] == "kind"} | {(k[2], "day", k[1]): n for k, n in brute(data).items() if k[0] == "day+kind"}
+    assert got == want

@@ -86,3 +86,24 @@ def test_every_alignment_of_periodic_runs(spark):
         if n := longest(a, b, 300):
             want[i, j] = [covered(a, b, 300), covered(b, a, 300), n]
     assert got == want and len(want) >= 28
+
+
+def test_pieces_without_duplicates(spark):
+    docs = [(1, "First line\n  second\tline \nthird"), (2, "keep\nＳecond   LINE\n\nthird\nmore\nthird"), (3, "third"), (4, ""), (5, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in spans.without_duplicates(df).collect())
+    text = dict(docs)
+    assert all(text[d][s:e] == t for d, s, e, t in got)
+    assert [(d, t.strip()) for d, _, _, t in got] == [(1, docs[0][1]), (2, "keep"), (2, "more")]
+    assert spans.without_duplicates(df.limit(0)).count() == 0
+
+
+def test_pairs_of_whole_copies(spark):
+    """Copies of a text pair among themselves and with all that one of them shares."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    piece = text(320)
+    docs = [text(50) + piece, a := text(10) + piece + text(30), a, a, text(400), b := text(299), b]
+    df = spark.createDataFrame([(10 - i, t) for i, t in enumerate(docs)] + [(10, docs[0])], "doc_id long, text string")
+    got = {(r.doc_a, r.doc_b): r.length for r in spans.shared_spans(df).collect()}
+    assert got == {(7, 8): 360, (7, 9): 360, (8, 9): 360, (7, 10): 320, (8, 10): 320, (9, 10): 320}
