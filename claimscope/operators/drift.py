@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.functions import claim_text as ct
+from claimscope.operators import ordered
+from claimscope.runtime import stored
 
 # Rule, label and score, in the order of the rules.
 RULES = {
@@ -21,6 +23,7 @@ RULES = {
     "quote_mismatch": ("quote_mismatch", 0.55),
     "time_inconsistency": ("time_inconsistency", 0.4),
 }
+# What a label says about its rule.
 REASONS = {
     "provenance_laundering": "attribution removed compared to prior post",
     "repeat_claim_no_new_evidence": "claim repeated without new evidence",
@@ -28,8 +31,8 @@ REASONS = {
     "quote_mismatch": "quote or attribution present but no link/facet found",
     "time_inconsistency": "mentioned date appears in future compared to createdAt",
 }
-#: Other posts of a group that one round of first_hits looks at.
-BLOCK = 16
+#: Needles are met by so many of their first characters.
+GRAM = 5
 
 
 def _label(rows: DataFrame, rule: str, prior: Column | None = None, date: Column | None = None) -> DataFrame:
@@ -41,67 +44,109 @@ def _label(rows: DataFrame, rule: str, prior: Column | None = None, date: Column
     )
 
 
-def first_hits(posts: DataFrame, priors: DataFrame, group: list[str], hit: Column, block: int = BLOCK) -> DataFrame:
-    """Each post p with the latest other post q of its group for which ``hit`` holds (whether or not q is earlier).
+def _normal(text: Column) -> Column:
+    return F.btrim(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")))
 
-    Both sides are cut into blocks of a group's posts, latest first; a round joins the posts still without a hit
-    with one block. So a round's rows are at most ``block`` times the open posts, however large a group is, and
-    rounds end when nothing is open: all pairs of a group are never made.
+
+def holding(haystacks: DataFrame, needles: DataFrame, group: list[str]) -> DataFrame:
+    """(uri, *group, key): each haystack (uri, *group, text) with the needles (*group, key) of its group that its text holds.
+
+    A needle is met by its first GRAM characters, looked up among those of the haystacks, so only texts that have these in common
+    are compared. Shorter needles, distinct strings of a few characters, are compared with the texts of their group.
+    """
+    needles = needles.select(*group, "key").distinct().withColumn("g", F.xxhash64(*group))
+    long = needles.where(F.length("key") >= GRAM).withColumn("gram", F.xxhash64(F.substring("key", 1, GRAM)))
+    hay = haystacks.select("uri", *group, "text").withColumn("g", F.xxhash64(*group))
+    hay = hay.join(needles.select("g").distinct(), "g", "left_semi")
+    places = F.when(F.length("text") >= GRAM, F.sequence(F.lit(1), F.length("text") - (GRAM - 1)))
+    grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("text", i, F.lit(GRAM)))))
+    met = hay.select("uri", "g", F.explode(grams).alias("gram")).join(long, ["g", "gram"]).select("uri", *group, "key")
+    found = met.join(hay.drop("g"), ["uri", *group]).where(F.contains("text", "key")).select("uri", *group, "key")
+    short = hay.join(needles.where(F.length("key") < GRAM), ["g", *group]).where(F.contains("text", "key"))
+    return found.unionByName(short.select("uri", *group, "key"))
+
+
+def latest_match(posts: DataFrame, priors: DataFrame, group: list[str], before: bool = False) -> DataFrame:
+    """(uri, prior): of each post the latest other prior of its group with which it has a key in common; with ``before``, an earlier one.
+
+    Both are (uri, ts, *group, key). Of a key only its two latest priors matter, or with ``before`` the last before each post, so
+    the pairs of a group are never made. Ties of time go by uri.
+    """
+    keys = [*group, "key"]
+    if before:
+        met = asof_prior(posts, priors, keys).where("prior IS NOT NULL")
+        return met.groupBy("uri").agg(F.max("prior").alias("p")).select("uri", F.col("p.uri").alias("prior"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("uri"))
+    two = priors.select(*keys, "ts", "uri").distinct().withColumn("r", F.row_number().over(order)).where("r <= 2")
+    met = posts.select(*keys, "uri").join(two.select(*keys, F.struct("ts", F.col("uri").alias("prior")).alias("p")), keys).where("p.prior <> uri")
+    return met.groupBy("uri").agg(F.max("p").alias("p")).select("uri", "p.prior")
+
+
+def comparable_keys(posts: DataFrame, priors: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Keys for latest_match of posts and priors (uri, ts, *group, text) whose texts are comparable, as claim_text.comparable says.
+
+    A key is a long word or the whole text of a prior that stands in a post's text; or a post's whole text that stands in a prior's. The
+    latter is only looked for where no long word of the post, between two others, would lead to the same priors.
     """
-    from claimscope.runtime import cut
-
-    order = Window.partitionBy(*group).orderBy(F.desc("ts"), F.desc("uri"))
-    q = cut(priors.select(*group, F.struct(*(c for c in priors.columns if c not in group)).alias("q"), "ts", "uri")
-            .withColumn("place", F.row_number().over(order)).withColumn("block", F.floor((F.col("place") - 1) / block).cast("int")).drop("ts", "uri"))
-    last = q.agg(F.max("block")).first()[0]
-    open_ = posts.select(*group, F.struct(*(c for c in posts.columns if c not in group)).alias("p"))
-    found = None
-    for b in range(0 if last is None else last + 1):
-        met = open_.join(q.where(F.col("block") == b), group).where((F.col("q.uri") != F.col("p.uri")) & hit)
-        best = cut(met.groupBy("p").agg(F.min_by("q", "place").alias("q")))
-        found = best if found is None else found.unionByName(best)
-        if b < last:
-            deeper = q.where(F.col("block") == b + 1).select(*group).distinct()
-            open_ = open_.join(best.select("p"), "p", "left_anti").join(deeper, group, "left_semi")
-            open_ = cut(open_)
-            if open_.isEmpty():
-                break
-    return found if found is not None else open_.select("p", F.col("p").alias("q")).where("false")
-
-
-def _with_signals(posts: DataFrame) -> DataFrame:
-    sig = ct.signals(F.col("text"))
-    return posts.withColumn("sig", sig).withColumn("attributed", ct.attributed(F.col("text")))
+    p, q = (x.select("uri", "ts", *group, _normal(F.col("text")).alias("text")) for x in (posts, priors))
+    kept = lambda way: F.concat(F.lit(way), F.col("key")).alias("key")
+    words = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 4)
+    needles = q.select("uri", "ts", *group, F.explode(F.array_union(words, F.array("text"))).alias("key"))
+    forth = holding(p, needles, group).join(p.select("uri", *group, "ts"), ["uri", *group])
+    inner = F.split("text", r"\s+")
+    covered = F.exists(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: F.length(w) > 4)
+    bare = p.where(~covered).withColumnRenamed("text", "key")
+    back = holding(q, bare, group).join(q.select("uri", *group, "ts"), ["uri", *group])
+    columns = ["uri", "ts", *group]
+    return (
+        forth.select(*columns, kept("<")).unionByName(bare.select(*columns, kept(">"))),
+        needles.select(*columns, kept("<")).unionByName(back.select(*columns, kept(">"))),
+    )
+
+
+def _prepared(posts: DataFrame) -> DataFrame:
+    """The posts with whether they attribute their claim, and their dates, numbers and names as tokens; stored, as all is read again."""
+    sig = posts.withColumn("sig", ct.signals(F.col("text"))).withColumn("attributed", ct.attributed(F.col("text")))
+    named = lambda kind: F.transform(F.col(f"sig.{kind}"), lambda t: F.concat(F.lit(f"{kind}:"), t))
+    return stored(sig.withColumn("tokens", F.array_distinct(F.concat(*map(named, ("dates", "quantities", "entities"))))).drop("sig"))
 
 
 def provenance_laundering(posts: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """A post without attribution, like another of its author in the thread that has one; else, like an earlier claim of the fingerprint."""
-    rows = _with_signals(posts.select("uri", "author", "root", "ts", "text", "fp"))
-    overlap = reduce(lambda a, b: a | b, (F.arrays_overlap(f"p.sig.{c}", f"q.sig.{c}") for c in ("dates", "quantities", "entities")))
-    hit = ct.comparable(F.col("q.text"), F.col("p.text")) | F.coalesce(overlap, F.lit(False))
+
+    def matched(p: DataFrame, q: DataFrame, group: list[str], before: bool) -> DataFrame:
+        both = comparable_keys(p, q, group)
+        keys = (k.unionByName(x.select("uri", "ts", *group, F.explode("tokens").alias("key"))) for k, x in zip(both, (p, q)))
+        return stored(latest_match(*keys, group, before))
+
+    rows = _prepared(posts.select("uri", "author", "root", "ts", "text", "fp"))
     without, with_ = rows.where("NOT attributed"), rows.where("attributed")
-    found = first_hits(without, with_.drop("fp"), ["root", "author"], hit)
-    out = _label(found.select("p.uri", F.col("q.uri").alias("prior")), "provenance_laundering", F.col("prior"))
+    # only where an author has both in a thread is there anything to compare
+    group = ["root", "author"]
+    found = matched(without.join(with_.select(*group).distinct(), group, "left_semi"), with_.join(without.select(*group).distinct(), group, "left_semi"), group, False)
+    out = _label(found, "provenance_laundering", F.col("prior"))
     if history is not None:
-        rest = without.join(found.select("p.uri"), "uri", "left_anti")
-        past = _with_signals(history.select("uri", "author", "fp", "ts", "text")).where("attributed")
-        fallback = first_hits(rest.drop("root"), past, ["author", "fp"], (F.col("q.ts") < F.col("p.ts")) & hit)
-        out = out.unionByName(_label(fallback.select("p.uri", F.col("q.uri").alias("prior")), "provenance_laundering", F.col("prior")))
+        rest = without.join(found.select("uri"), "uri", "left_anti")
+        past, group = _prepared(history.select("uri", "author", "fp", "ts", "text")).where("attributed"), ["author", "fp"]
+        rest, past = stored(rest.join(past.select(*group).distinct(), group, "left_semi")), stored(past.join(rest.select(*group).distinct(), group, "left_semi"))
+        out = out.unionByName(_label(matched(rest, past, group, True), "provenance_laundering", F.col("prior")))
     return out
 
 
 def repeated_claims(posts: DataFrame) -> DataFrame:
     """A post comparable with another of its author in the thread, both with links or embeds or both without."""
     rows = posts.select("uri", "author", "root", "ts", "text", ((F.col("n_links") > 0) | (F.col("n_embeds") > 0)).alias("evidence"))
-    hit = (F.col("p.evidence") == F.col("q.evidence")) & ct.comparable(F.col("q.text"), F.col("p.text"))
-    found = first_hits(rows, rows, ["root", "author"], hit)
-    return _label(found.select("p.uri", F.col("q.uri").alias("prior")), "repeat_claim_no_new_evidence", F.col("prior"))
+    group = ["root", "author", "evidence"]
+    several = rows.groupBy(*group).agg(F.count("*").alias("n")).where("n > 1").select(*group)
+    rows = stored(rows.join(several, group, "left_semi"))
+    found = stored(latest_match(*comparable_keys(rows, rows, group), group))
+    return _label(found, "repeat_claim_no_new_evidence", F.col("prior"))
 
 
-def asof_prior(posts: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
+def asof_prior(posts: DataFrame, history: DataFrame, keys: list[str], hot: int = ordered.HOT) -> DataFrame:
     """Each post with the last history row of its keys strictly before it: (..., prior: struct or null).
 
-    One sort over the union instead of a range join; rows of one time are decided together, so none precedes another.
+    One order over the union instead of a range join; rows of one time are decided together, so none precedes another.
     """
     held = [c for c in history.columns if c not in keys and c != "ts"]
     left = posts.withColumn("_h", F.lit(None).cast(history.select(F.struct("ts", *held).alias("h")).schema["h"].dataType))
@@ -110,8 +155,7 @@ def asof_prior(posts: DataFrame, history: DataFrame, keys: list[str]) -> DataFra
         if c not in right.columns:
             right = right.withColumn(c, F.lit(None).cast(posts.schema[c].dataType))
     both = left.withColumn("_post", F.lit(True)).unionByName(right.withColumn("_post", F.lit(False)))
-    before = Window.partitionBy(*keys).orderBy(F.unix_micros("ts")).rangeBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("prior", F.max("_h").over(before)).where("_post").drop("_h", "_post")
+    return ordered.latest(both, keys, F.unix_micros("ts"), F.col("_h"), "prior", True, hot).where("_post").drop("_h", "_post")
 
 
 def assertiveness_increase(posts: DataFrame, history: DataFrame, delta: float = 0.2) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimscope.operators import ordered
+from claimscope.runtime import stored
+
 
 def claim_stats(claims: DataFrame, as_of: str) -> DataFrame:
     """(rows, first_seen, last_seen, garbage, last_day): one pass. Times before 2020 or after next January are garbage."""
@@ -24,9 +27,9 @@ def retention_split(rows: DataFrame, as_of: str, days: int) -> DataFrame:
 
 def archive(rows: DataFrame, path: str, as_of: str, days: int) -> tuple[DataFrame, int]:
     """Writes what is past its days as gzip JSON by day, verifies the count, and returns (what stays, rows archived)."""
-    split = retention_split(rows, as_of, days)
+    split = stored(retention_split(rows, as_of, days))
     old = split.where("NOT kept").drop("kept")
-    old.repartition("day").write.mode("overwrite").partitionBy("day").option("compression", "gzip").json(path)
+    old.write.mode("overwrite").partitionBy("day").option("compression", "gzip").json(path)  # as many files a day as tasks hold it
     want = old.count()
     done = rows.sparkSession.read.json(path).count() if want else 0
     if done != want:
@@ -60,27 +63,31 @@ def trimmed_queue(entries: DataFrame, key: list[str], high: int = 11_000, low: i
     return newest
 
 
-def versions(deliveries: DataFrame, key: str, order: list[str], content: Column) -> DataFrame:
-    """Deliveries with what each does to its key: inserted, updated (content differs from the one before) or unchanged."""
-    w = Window.partitionBy(key).orderBy(*order)
+def versions(deliveries: DataFrame, key: str, at: Column, order: list[str], content: Column, hot: int = ordered.HOT) -> DataFrame:
+    """Deliveries with what each does to its key: inserted, updated (content differs from the one before) or unchanged.
+
+    ``at`` is the time, in whole numbers, that the order begins with.
+    """
     hashed = deliveries.withColumn("content_hash", F.sha2(content, 256))
-    before = F.lag("content_hash").over(w)
-    outcome = F.when(F.row_number().over(w) == 1, "inserted").when(before.eqNullSafe(F.col("content_hash")), "unchanged").otherwise("updated")
-    return hashed.withColumn("outcome", outcome)
+    met = ordered.previous(hashed, [key], at, order, F.col("content_hash"), "_before", hot)
+    outcome = F.when(F.col("_before").isNull(), "inserted").when(F.col("_before.value").eqNullSafe(F.col("content_hash")), "unchanged").otherwise("updated")
+    return met.withColumn("outcome", outcome).drop("_before")
 
 
-def second_authors(claims: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
+def second_authors(claims: DataFrame, ttl_seconds: int = 3600, hot: int = ordered.HOT) -> DataFrame:
     """(fp, seq, passes): whether another author has made the claim within the time before, the batch form of the gate.
 
     It is enough to look at the last claim by another author: the last of all if its author differs, else the last before
     that author's run began.
     """
-    w = Window.partitionBy("fp").orderBy("ts", "seq")
-    prev_author, prev_ts = F.lag("author").over(w), F.lag("ts").over(w)
-    changed = F.when(~prev_author.eqNullSafe(F.col("author")), prev_ts)
-    rows = claims.withColumn("changed", changed)
-    last_other = F.last("changed", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("fp", "seq", F.coalesce(F.unix_micros("ts") - F.unix_micros(last_other) <= ttl_seconds * 1_000_000, F.lit(False)).alias("passes"))
+    at = F.unix_micros("ts")
+    rows = ordered.previous(claims.select("fp", "seq", "ts", "author"), ["fp"], at, ["ts", "seq"], F.struct("author", "ts"), "_before", hot)
+    other = F.when(~F.col("_before.value.author").eqNullSafe(F.col("author")), F.struct("ts", "seq", F.col("_before.value.ts").alias("other")))
+    # of claims of one time a later one may have seen another author; it doesn't count for those before it
+    rows = rows.withColumn("_turn", other)
+    met = ordered.previous_turn(rows, ["fp"], at, ["ts", "seq"], "_turn", "_last", hot)
+    passes = F.unix_micros("ts") - F.unix_micros("_last.other") <= ttl_seconds * 1_000_000
+    return met.select("fp", "seq", F.coalesce(passes, F.lit(False)).alias("passes"))
 
 
 def collisions(fingerprints: DataFrame) -> DataFrame:

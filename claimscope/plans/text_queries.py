@@ -154,7 +154,7 @@ def label_reconcile(spark, d):
 def event_versions(spark, d):
     """Deliveries of each event by what they change: inserted, updated or unchanged in their record's id."""
     e = table(spark, d, "post_events").where("event_uri IS NOT NULL")
-    return lifecycle.versions(e, "event_uri", ["ctime", "event_no"], F.coalesce(F.get_json_object("raw", "$.cid"), F.lit(""))).groupBy("outcome").agg(F.count("*").alias("n"))
+    return lifecycle.versions(e, "event_uri", F.unix_micros("ctime"), ["ctime", "event_no"], F.coalesce(F.get_json_object("raw", "$.cid"), F.lit(""))).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -164,7 +164,6 @@ QUERIES = {f.__name__: f for f in (
 
 _TEXTS = "t AS (SELECT seq, coalesce(text, '') AS text FROM posts)"
 _FIRST = "f AS (SELECT uri, arg_min(coalesce(text, ''), seq) AS text FROM posts WHERE uri IS NOT NULL GROUP BY uri)"
-_PREP = "(?i)\\b(in|by|from|at|near|inside|over|on|under|around|within)\\s+([A-Za-z0-9_\\-]{2,})"
 
 ORACLE = {
     "extract_dates": rf"WITH {_TEXTS} SELECT date, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(\d{{4}}-\d{{2}}-\d{{2}})', 1)) AS date FROM t) GROUP BY date",

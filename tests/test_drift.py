@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from claimscope.functions import claim_text as ct
-from claimscope.operators import drift
+from claimscope.operators import drift, lifecycle
 from claimscope.plans import text_queries
 
 POST = "uri string, author string, root string, ts timestamp, text string"
@@ -45,19 +45,41 @@ def test_surer_on_the_same_evidence(spark):
     assert [tuple(r) for r in got] == [("a2", "a1")]
 
 
-def test_first_hits_equal_a_backward_scan(spark):
+def alike(q, p):
+    q, p = (x.lower().replace("\n", " ").strip() for x in (q, p))
+    return q in p or p in q or any(len(w) > 4 and w in p for w in q.split())
+
+
+def test_latest_comparable_equals_a_backward_scan(spark):
     rng = random.Random(1)
-    rows = [(f"u{i}", "hot" if i < 120 else f"a{i % 7}", "r", f"2025-01-01 10:{i % 50:02d}:00", f"word{rng.randrange(12)} {'alpha' if rng.random() < .1 else 'beta'}") for i in range(200)]
-    p = posts(spark, rows).select("uri", "author", "root", "ts", "text")
-    hit = F.contains("q.text", F.substring_index("p.text", " ", 1)) & F.contains("q.text", F.lit("alpha"))
-    got = {r[0]: r[1] for r in drift.first_hits(p, p, ["root", "author"], hit, block=4).select("p.uri", "q.uri").collect()}
-    want = {}
-    for u, a, _, _, t in rows:
-        for v, b, _, at, x in sorted(rows, key=lambda r: (r[3], r[0]), reverse=True):
-            if b == a and v != u and t.split()[0] in x and "alpha" in x:
-                want[u] = v
-                break
-    assert got == want and len(want) > 20
+    words = ["", "ok", "no", "a b", "happen", "happened", "rivers", "river", "old dam", "the", "x", "Dam broke", "broken", "!"]
+    rows = [(f"u{i:03d}", "hot" if i < 120 else f"a{i % 7}", "r", f"2025-01-01 10:{i % 50:02d}:00", " ".join(rng.choice(words) for _ in range(rng.randrange(4)))) for i in range(200)]
+    p = posts(spark, rows)
+    got = {r.subject_uri: r.prior_uri for r in drift.repeated_claims(p).collect()}
+    ts = {u: (at, u) for u, _, _, at, _ in rows}
+    for before in (False, True):
+        want = {}
+        for u, a, _, at, t in rows:
+            hits = [v for v, b, _, then, x in rows if b == a and v != u and alike(x, t) and (not before or then < at)]
+            if hits:
+                want[u] = max(hits, key=ts.get)
+        if before:
+            group = ["author"]
+            got = {r.uri: r.prior for r in drift.latest_match(*drift.comparable_keys(p, p, group), group, True).collect()}
+        assert got == want and len(want) > 100
+
+
+def test_hot_keys_in_slices_give_the_same(spark):
+    rng = random.Random(2)
+    rows = [(i, "hot" if i % 3 else f"k{i % 5}", rng.randrange(900), rng.choice("abc")) for i in range(1500)]
+    df = spark.createDataFrame([*rows, (1500, None, 5, "a"), (1501, None, 6, "a")], "seq int, fp string, s long, author string").withColumn("ts", F.timestamp_seconds("s"))
+    for f in (
+        lambda hot: drift.asof_prior(df.select("fp", "ts", "seq"), df.select("fp", "ts", F.col("seq").alias("other")), ["fp"], hot).select("seq", "prior.other"),
+        lambda hot: lifecycle.second_authors(df, 60, hot).select("seq", "passes"),
+        lambda hot: lifecycle.versions(df, "fp", F.col("s"), ["s", "seq"], F.col("author"), hot).select("seq", "outcome"),
+    ):
+        plain, cut = (sorted(map(tuple, f(hot).collect()), key=str) for hot in (10**6, 40))
+        assert plain == cut and len(plain) == 1502 and len({r[1] for r in plain}) > 1
 
 
 def test_asof_is_strictly_before(spark):

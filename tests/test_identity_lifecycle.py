@@ -51,7 +51,7 @@ def test_queues_versions_and_gate(spark):
     assert [r.fp for r in taken.collect()] == ["a", "b"] and [r.fp for r in rest.collect()] == ["c"]
     assert sorted(r.fp for r in lifecycle.trimmed_queue(q, ["fp"], 2, 1).collect()) == ["c"] and lifecycle.trimmed_queue(q, ["fp"], 3, 1).count() == 3
     v = spark.createDataFrame([("u", 1, "x"), ("u", 2, "x"), ("u", 3, "y"), ("u", 4, "x"), ("w", 1, None)], "uri string, t int, raw string")
-    assert sorted((r.uri, r.t, r.outcome) for r in lifecycle.versions(v, "uri", ["t"], F.col("raw")).collect()) == [("u", 1, "inserted"), ("u", 2, "unchanged"), ("u", 3, "updated"), ("u", 4, "updated"), ("w", 1, "inserted")]
+    assert sorted((r.uri, r.t, r.outcome) for r in lifecycle.versions(v, "uri", F.col("t"), ["t"], F.col("raw")).collect()) == [("u", 1, "inserted"), ("u", 2, "unchanged"), ("u", 3, "updated"), ("u", 4, "updated"), ("w", 1, "inserted")]
     rows = [("f", "a", 0, 1), ("f", "a", 10, 2), ("f", "b", 20, 3), ("f", "b", 3700, 4), ("f", "a", 3800, 5), ("f", "a", 9000, 6)]
     df = spark.createDataFrame(rows, "fp string, author string, s long, seq long").withColumn("ts", F.timestamp_seconds("s"))
     assert {r.seq: r.passes for r in lifecycle.second_authors(df).collect()} == {1: False, 2: False, 3: True, 4: False, 5: True, 6: False}

@@ -48,7 +48,7 @@ def test_streams_equal_batches(spark, tmp_path):
     raw = spark.createDataFrame([(m,) for m in MESSAGES], "value string")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = ingest.messages(spark, str(folder), 1)
-    want = lifecycle.versions(ingest.commits(raw), "uri", ["time_us"], F.concat_ws("\x1f", "cid", "text")).select("uri", "outcome")
+    want = lifecycle.versions(ingest.commits(raw), "uri", F.col("time_us"), ["time_us"], F.concat_ws("\x1f", "cid", "text")).select("uri", "outcome")
     got = drained(spark, ingest.versioned(ingest.commits(stream)), tmp_path, "versions")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     hours = drained(spark, ingest.hourly(ingest.commits(ingest.messages(spark, str(folder), 1))), tmp_path, "hours", "complete")
