@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 # word characters and their borders, as letters, numbers and underscore alone (Java's own \\b also counts joiners and marks)
 _W = r"[\p{L}\p{N}_]"
 _B = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
-# each begins with a look at the first character, which most places fail at once
+# What a date, a number, a name and a modal are. Each begins with a look at the first character, which most places fail at once
 DATE = rf"(?=\p{{Nd}})(?<!{_W})(\p{{Nd}}{{4}}-\p{{Nd}}{{2}}-\p{{Nd}}{{2}})(?!{_W})"
 QUANTITY = rf"(?i)(?=\p{{Nd}})(?<!{_W})\p{{Nd}}[\p{{Nd}}.,]*k?{_B}"
 ENTITY = rf"(?U)(?=[A-Z])(?<!{_W})([A-Z][a-z]{{2,}}(?:\s+[A-Z][a-z]{{2,}})*)(?!{_W})"
@@ -190,6 +190,7 @@ def fingerprint_source(text: Column, config: FingerprintConfig = DEFAULT) -> Col
     t = F.coalesce(text, F.lit(""))
     forms = folded(F.concat(spans(t), F.array(t)))
     barred = _strings(config.modal + config.entity_stop)
+    # Fixed value: a place or agent after its preposition.
     place = rf"(?iU)(?=[ib])(?<!{_W})(in|by)\s+([A-Za-z0-9_\-]{{2,}})"
 
     def listed(label: str, values: Column) -> Column:
@@ -233,9 +234,10 @@ def fingerprint(text: Column, config: FingerprintConfig = DEFAULT) -> Column:
 
 def complex_enough(text: Column, links: Column | None = None, embeds: Column | None = None, facets: Column | None = None, least: int = 3) -> Column:
     """Whether a text carries a claim: three words, an entity, or any evidence with it. Blank texts don't."""
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), EMOJI, "")
+    text = F.coalesce(text, F.lit(""))
+    clean = F.regexp_replace(text, EMOJI, "")
     held = [F.coalesce(F.size(c) > 0, F.lit(False)) for c in (links, embeds, facets) if c is not None]
-    enough = (F.size(F.regexp_extract_all(clean, F.lit(rf"(?=[a-zA-Z])(?<!{_W})[a-zA-Z]{{3,}}(?!{_W})"), 0)) >= least) | (F.size(entities(clean)) > 0)
+    enough = (F.size(F.regexp_extract_all(clean, F.lit(rf"(?=[a-zA-Z])(?<!{_W})[a-zA-Z]{{3,}}(?!{_W})"), 0)) >= least) | (F.size(entities(text)) > 0)
     for h in held:
         enough = h | enough
     return F.coalesce(F.trim(text) != "", F.lit(False)) & enough
@@ -314,6 +316,7 @@ def mutated(text: Column) -> Column:
     small = F.when(letter == "", F.concat(text, F.lit("a"))).otherwise(
         F.concat(F.regexp_extract(text, r"(?s)^([^\p{L}]*)", 1), F.when(F.lower(letter) == "b", "c").otherwise("b"), F.regexp_extract(text, r"(?s)^[^\p{L}]*\p{L}(.*)$", 1))
     )
+    # Names of the mutations and what they add.
     changes = {
         "whitespace": F.regexp_replace(F.trim(text), r"(?U)\s+", " "),
         "punctuation": F.regexp_replace(text, r"(?U)[^\w\s]", ""),

@@ -149,26 +149,37 @@ def cooled(detections: DataFrame, windows: int = 5, delta: float = 0.5) -> DataF
     return detections.groupBy("det_id").applyInPandas(fold, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in detections.schema.fields) + ", emitted boolean")
 
 
-def ewma(values: Column, alpha: float) -> Column:
-    """The moving average of an array in order: each value's weight is alpha; the first seeds it. An array of the same length."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(values, start, lambda kept, x: F.concat(kept, F.array(
-        F.when((F.size(kept) == 0) | (F.element_at(kept, -1) == 0.0), x).otherwise(alpha * x + (1 - alpha) * F.element_at(kept, -1)))))
+def ewma(values: list[float], alpha: float) -> list[float]:
+    """The moving average of values in order: each value's weight is alpha; the first seeds it, and so does one after 0."""
+    out: list[float] = []
+    for x in values:
+        out.append(x if not out or out[-1] == 0.0 else alpha * x + (1 - alpha) * out[-1])
+    return out
+
+
+def averaged(rows: DataFrame, by: list[str], value: str, alpha: float) -> DataFrame:
+    """The rows with ``base``: the moving average of a value in order of bins, the bin included. Rows are one a bin, so folds are short."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", base double"
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        pdf["base"] = ewma(pdf[value].tolist(), alpha)
+        return pdf
+
+    return rows.groupBy(*by).applyInPandas(fold, kinds)
 
 
 def concentration(series: DataFrame, alpha: float = 2 / 25, relative: float = 0.5, absolute: float = 0.3) -> DataFrame:
     """(bin, herfindahl, baseline, increase, severity): how concentrated the posts of each bin are; severity only if anomalous.
 
-    The baseline, a moving average, already includes the bin. One row a bin, folded in order of bins.
+    The baseline, a moving average, already includes the bin.
     """
     total = F.sum("posts").cast("double")
     h = series.groupBy("bin").agg((F.sum(F.col("posts").cast("double") * F.col("posts")) / (total * total)).alias("h"))
-    all_ = h.agg(F.array_sort(F.collect_list(F.struct("bin", "h"))).alias("b"))
-    each = all_.select(F.explode(F.arrays_zip(F.col("b.bin").alias("bin"), F.col("b.h").alias("h"), ewma(F.col("b.h"), alpha).alias("base"))).alias("x")).select("x.*")
     inc = (F.col("h") - F.col("base")) / F.col("base")
     odd = (inc > relative) | (F.col("h") > absolute)
     sev = F.when(F.col("h") > 0.6, "high").when(F.col("h") > 0.4, "med").when(F.col("h") > 0.3, "low").otherwise("info")
-    return each.select("bin", F.round("h", 6).alias("herfindahl"), F.round("base", 6).alias("baseline"), F.round(inc, 4).alias("increase"), F.when(odd, sev).alias("severity"))
+    return averaged(h, [], "h", alpha).select("bin", F.round("h", 6).alias("herfindahl"), F.round("base", 6).alias("baseline"), F.round(inc, 4).alias("increase"), F.when(odd, sev).alias("severity"))
 
 
 def author_velocity(series: DataFrame, top: int = 20, alpha: float = 2 / 25) -> DataFrame:
@@ -177,11 +188,8 @@ def author_velocity(series: DataFrame, top: int = 20, alpha: float = 2 / 25) ->
     The baseline is the moving average before the bin. More authors a post is spread, fewer amplification.
     """
     busiest = series.groupBy("fp").agg(F.sum("posts").alias("p")).orderBy(F.desc("p"), "fp").limit(top).select("fp")
-    each = series.join(busiest, "fp", "left_semi").withColumn("ratio", F.col("authors").cast("double") / F.col("posts"))
-    lists = each.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("bin", "ratio"))).alias("b"))
-    base = ewma(F.col("b.ratio"), alpha)
-    before = F.concat(F.array(F.lit(None).cast("double")), F.slice(base, F.lit(1), F.size(base) - 1))
-    rows = lists.select("fp", F.explode(F.arrays_zip(F.col("b.bin").alias("bin"), F.col("b.ratio").alias("ratio"), before.alias("base"))).alias("x")).select("fp", "x.*")
+    each = series.join(busiest, "fp", "left_semi").select("fp", "bin", (F.col("authors").cast("double") / F.col("posts")).alias("ratio"))
+    rows = averaged(each, ["fp"], "ratio", alpha).withColumn("base", F.lag("base").over(Window.partitionBy("fp").orderBy("bin")))
     c = (F.col("ratio") - F.col("base")) / F.col("base")
     sev = F.when(c > 2, "high").when(c > 1, "med").when(c > 0.5, "low").when(c < -0.8, "high").when(c < -0.6, "med").when(c < -0.4, "low")
     return rows.select("fp", "bin", F.round("ratio", 6).alias("ratio"), F.round("base", 6).alias("baseline"), F.round(c, 4).alias("change"), sev.alias("severity"))
@@ -189,6 +197,7 @@ def author_velocity(series: DataFrame, top: int = 20, alpha: float = 2 / 25) ->
 
 # --- stream health ---
 
+# The thresholds of the health machine.
 HEALTH = {
     "warmup": 5, "alpha": 2 / 31, "coverage_low": 0.6, "coverage_ok": 0.8, "lag_high": 120.0, "lag_ok": 30.0, "backlog": 100, "drop_high": 0.02,
     "bad": 3, "good": 5, "recalibrate": 3, "heartbeat": 10,

@@ -13,12 +13,6 @@ from claimscope.operators import cluster
 from claimscope.sources import files
 
 
-def _held(spark: SparkSession, path: str) -> DataFrame | None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.parquet(path) if there else None
-
-
 def merged_map(known: DataFrame | None, claims: DataFrame, last_seq: int, as_of: str, days: int = 30) -> DataFrame:
     """(post_uri, fp, ts, seq): the map after the claims past last_seq; the later claim of a post wins, old ones are pruned."""
     new = cluster.uri_map(claims.where(F.col("seq") > last_seq))
@@ -34,15 +28,15 @@ def identity_facts(actors: DataFrame) -> DataFrame:
 
 def export_cycle(spark: SparkSession, claims: DataFrame, actors: DataFrame, folder: str, as_of: str, overlap_hours: int = 72, days: int = 30) -> dict:
     """One cycle into a folder of snapshots; returns what it did."""
-    known = _held(spark, f"{folder}/uri_fingerprint")
+    known = files.read_snapshot(spark, f"{folder}/uri_fingerprint")
     last = known.agg(F.max("seq")).first()[0] if known is not None else None
-    meta = _held(spark, f"{folder}/meta")
+    meta = files.read_snapshot(spark, f"{folder}/meta")
     if meta is not None:
         last = meta.first().last_seq
     last = -1 if last is None else last
     seen = claims.agg(F.max("seq")).first()[0]
     files.snapshot(merged_map(known, claims, last, as_of, days), f"{folder}/uri_fingerprint")
-    mapped = spark.read.parquet(f"{folder}/uri_fingerprint")
+    mapped = files.read_snapshot(spark, f"{folder}/uri_fingerprint")
     files.overwrite_hours(cluster.hourly_rollup(claims, as_of, overlap_hours), f"{folder}/fingerprint_hourly")
     done = {
         "posts": mapped.count(), "bounds": files.snapshot(cluster.bounds(mapped.where("fp IS NOT NULL")), f"{folder}/fingerprint_bounds"),
@@ -50,3 +44,8 @@ def export_cycle(spark: SparkSession, claims: DataFrame, actors: DataFrame, fold
     }
     files.snapshot(spark.createDataFrame([(done["last_seq"], as_of)], "last_seq long, as_of string"), f"{folder}/meta")
     return done
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the export: the hourly figures are kept by hour, the others as snapshots."""
+    return spark.read.parquet(f"{folder}/{name}") if name == "fingerprint_hourly" else files.read_snapshot(spark, f"{folder}/{name}")

@@ -56,7 +56,7 @@ def claim_signals(spark, d):
 
 
 def extract_dates(spark, d):
-    return texts(spark, d).select("seq", F.explode(F.regexp_extract_all("text", F.lit(r"(\d{4}-\d{2}-\d{2})"), 1)).alias("date")).groupBy("date").agg(F.count("*").alias("n"))
+    return texts(spark, d).select("seq", F.explode(ct.dates(F.col("text"))).alias("date")).groupBy("date").agg(F.count("*").alias("n"))
 
 
 def link_domains(spark, d):

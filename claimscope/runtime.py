@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark import SparkContext
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_released = 0.0
+
+
 def session(app: str = "claimscope", cores: str | None = None) -> SparkSession:
     """A session for local work; a cluster passes its own."""
     return (
@@ -52,6 +56,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         at = tempfile.mkdtemp(prefix="claimscope-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
@@ -65,8 +71,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release() -> None:
-    """Lets go of what finished phases hold: shuffle files go once the driver has collected their last reference."""
+def release(every: float = 2.0) -> None:
+    """Lets go of what finished phases hold: shuffle files go once the driver has collected their last reference.
+
+    At most once in so many seconds, as a collection takes a moment.
+    """
+    global _released
+    if time.monotonic() - _released < every:
+        return
+    _released = time.monotonic()
     gc.collect()
     if (sc := SparkContext._active_spark_context) is not None:
         sc._jvm.System.gc()

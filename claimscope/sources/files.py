@@ -42,21 +42,44 @@ def append_audit(labels: DataFrame, path: str, mode: str) -> None:
 
 
 def snapshot(df: DataFrame, path: str) -> int:
-    """Replaces a Parquet table at once: written beside it, counted, then renamed. Readers see the old or the new one."""
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, old = fs_path(path + ".new"), fs_path(path + ".old")
-    df.write.mode("overwrite").parquet(path + ".new")
-    n = spark.read.parquet(path + ".new").count()
-    fs.delete(old, True)
-    if fs.exists(fs_path(path)):
-        fs.rename(fs_path(path), old)
-    fs.rename(new, fs_path(path))
-    fs.delete(old, True)
+    """Replaces a Parquet table: written whole beside the earlier versions, then a pointer is switched in one rename; its rows.
+
+    Readers (read_snapshot) follow the pointer, so they see the old version or the new one and never neither. A crash leaves at most an
+    unnamed version. The version before stays for those that read it now; older ones go.
+    """
+    spark = df.sparkSession
+    fs, at = _file_system(spark, path)
+    before = _version(fs, at)
+    version = (before or 0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/v{version}")
+    n = spark.read.schema(df.schema).parquet(f"{path}/v{version}").count()
+    fs.create(at(f"{path}/current={version}.new"), True).close()
+    fs.rename(at(f"{path}/current={version}.new"), at(f"{path}/current={version}"))
+    for v in range(max(1, version - 2), version):
+        fs.delete(at(f"{path}/current={v}"), False)
+    if version > 2:
+        fs.delete(at(f"{path}/v{version - 2}"), True)
     return n
 
 
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that snapshot wrote last, or None."""
+    fs, at = _file_system(spark, path)
+    version = _version(fs, at)
+    return None if version is None else spark.read.parquet(f"{path}/v{version}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), lambda p: make(p) if p.startswith(path) else make(f"{path}/{p}")
+
+
+def _version(fs, at) -> int | None:
+    """The highest pointer: where a crash left two, the later one."""
+    found = fs.globStatus(at("current=*[0-9]"))
+    return max((int(f.getPath().getName().partition("=")[2]) for f in found or []), default=None)
+
+
 def overwrite_hours(rollup: DataFrame, path: str) -> None:
     """Replaces only the hours that a rollup holds; other hours of the table stay as they are."""
     day = F.to_date(F.timestamp_seconds("hour_epoch"))

@@ -62,7 +62,13 @@ def test_archive_snapshot_and_hours(spark, tmp_path):
     stays, n = lifecycle.archive(rows, str(tmp_path / "old"), "2023-11-05 00:00:00", 14)
     assert n == 2 and sorted(r.seq for r in stays.collect()) == [3, 4] and list((tmp_path / "old").glob("day=2023-10-01/*.json.gz"))
     assert files.snapshot(rows, str(tmp_path / "snap")) == 4 and files.snapshot(rows.limit(1), str(tmp_path / "snap")) == 1
-    assert spark.read.parquet(str(tmp_path / "snap")).count() == 1 and not (tmp_path / "snap.old").exists()
+    snap = str(tmp_path / "snap")
+    assert files.read_snapshot(spark, snap).count() == 1 and files.read_snapshot(spark, str(tmp_path / "none")) is None
+    (tmp_path / "snap" / "v3").mkdir()  # a crash before the switch leaves the version before in place
+    assert files.read_snapshot(spark, snap).count() == 1
+    held = files.read_snapshot(spark, snap)
+    assert files.snapshot(rows.limit(2), snap) == 2 and held.count() == 1 and files.read_snapshot(spark, snap).count() == 2
+    assert [p.name for p in (tmp_path / "snap").glob("current=*")] == ["current=3"]
     roll = lambda *r: spark.createDataFrame(r, "fingerprint string, hour_epoch long, event_count long")
     files.overwrite_hours(roll(("a", 3600, 1), ("b", 7200, 2)), str(tmp_path / "hours"))
     files.overwrite_hours(roll(("c", 7200, 9)), str(tmp_path / "hours"))

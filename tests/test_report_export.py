@@ -30,9 +30,9 @@ def test_export_in_two_cycles_equals_one(spark, tiny, tmp_path):
     one = export.export_cycle(spark, claims, actors, str(tmp_path / "one"), cluster_queries.AS_OF, days=400)
     assert one == two
     for name in ("uri_fingerprint", "fingerprint_hourly", "fingerprint_bounds", "actor_identity_facts"):
-        a, b = (spark.read.parquet(str(tmp_path / k / name)) for k in ("one", "two"))
+        a, b = (export.read(spark, str(tmp_path / k), name) for k in ("one", "two"))
         assert a.count() > 0 and a.exceptAll(b.select(a.columns)).count() == b.select(a.columns).exceptAll(a).count() == 0
-    assert spark.read.parquet(str(tmp_path / "one" / "uri_fingerprint")).count() == cluster.uri_map(claims).count()
+    assert export.read(spark, str(tmp_path / "one"), "uri_fingerprint").count() == cluster.uri_map(claims).count()
 
 
 def test_helpers(spark):
@@ -48,8 +48,8 @@ def test_helpers(spark):
 
 
 def test_drift_command(spark, tmp_path):
-    rows = [{"uri": "u1", "text": "According to source X, 200 people were affected.", "createdAt": "2025-02-01T08:00:00", "authorDid": "a", "replyRootUri": "r"},
-            {"uri": "u2", "text": "200 people were affected.", "createdAt": "2025-02-01T09:00:00", "authorDid": "a", "replyRootUri": "r"}]
+    rows = [{"uri": "u1", "text": "The harbour office, according to Rossi, closed 431 berths.", "createdAt": "2025-02-01T08:00:00", "authorDid": "a", "replyRootUri": "r"},
+            {"uri": "u2", "text": "It is closed: 431 berths.", "createdAt": "2025-02-01T09:00:00", "authorDid": "a", "replyRootUri": "r"}]
     (tmp_path / "posts.jsonl").write_text("\n\n".join(map(json.dumps, rows)))
     assert cli.main(["drift", str(tmp_path / "posts.jsonl"), "--out", str(tmp_path / "labels")]) == 0
     lines = [json.loads(line) for f in (tmp_path / "labels").glob("part-*") for line in f.read_text().splitlines()]
