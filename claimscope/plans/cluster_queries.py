@@ -74,7 +74,7 @@ def label_vectors(spark, d):
 
 
 def regime_shift(spark, d):
-    return cluster.regime_shifts(cluster.label_vectors(decisions(spark, d), 6), 8, 0.01).withColumn("bin", F.col("bin").cast("string"))
+    return cluster.regime_shifts(cluster.label_vectors(decisions(spark, d))).withColumn("bin", F.col("bin").cast("string"))
 
 
 def herfindahl(spark, d):
@@ -132,6 +132,13 @@ def _bursts(hours: int) -> str:
 _MAP = "m AS (SELECT post_uri, arg_max(fp, seq) AS fp, arg_max(ts, seq) AS ts, max(seq) AS seq FROM (SELECT post_uri, seq, fp, coalesce(ts, TIMESTAMP '0001-01-01') AS ts FROM claims) WHERE post_uri IS NOT NULL GROUP BY post_uri)"
 _VECTORS = """v AS (SELECT date_trunc('day', ts) + to_hours(CAST(floor(hour(ts) / {h}.0) * {h} AS INTEGER)) AS bin, evidence_class AS label, count(*) AS n
   FROM claims WHERE provenance = 'jetstream' AND ts IS NOT NULL GROUP BY 1, 2)"""
+SHIFTS = _VECTORS.format(h=1) + """,
+    b AS (SELECT bin, row_number() OVER (ORDER BY bin) AS i FROM (SELECT DISTINCT bin FROM v)),
+    g AS (SELECT b.bin, b.i, l.label, coalesce(v.n, 0) AS n FROM b CROSS JOIN (SELECT DISTINCT label FROM v) l LEFT JOIN v ON v.bin = b.bin AND v.label = l.label),
+    h AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY label ORDER BY i ROWS BETWEEN 168 PRECEDING AND 1 PRECEDING), 0) AS base FROM g),
+    p AS (SELECT bin, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY bin) AS p, CAST(base AS DOUBLE) / nullif(sum(base) OVER (PARTITION BY bin), 0) AS q FROM h),
+    j AS (SELECT bin, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 4) AS jsd
+          FROM p WHERE q IS NOT NULL GROUP BY bin)"""
 
 ORACLE = {
     "fp_timeseries": _series(1) + " SELECT fp, CAST(bin AS VARCHAR) AS bin, posts, authors, avg_confidence FROM s",
@@ -152,14 +159,7 @@ ORACLE = {
     "window_totals": f"WITH {CLAIMS} SELECT count(*) AS posts, count(DISTINCT fp) AS fps FROM claims WHERE ts BETWEEN TIMESTAMP '2023-11-01' AND TIMESTAMP '2023-11-03'",
     "automation_flag": _bursts(1) + " SELECT fp, authors, total_posts FROM bursts WHERE authors <= 1 AND total_posts >= 10",
     "label_vectors": f"WITH {CLAIMS}, {_VECTORS.format(h=1)} SELECT CAST(bin AS VARCHAR) AS bin, label, n FROM v",
-    "regime_shift": f"""WITH {CLAIMS}, {_VECTORS.format(h=6)},
-    b AS (SELECT bin, row_number() OVER (ORDER BY bin) AS i FROM (SELECT DISTINCT bin FROM v)),
-    g AS (SELECT b.bin, b.i, l.label, coalesce(v.n, 0) AS n FROM b CROSS JOIN (SELECT DISTINCT label FROM v) l LEFT JOIN v ON v.bin = b.bin AND v.label = l.label),
-    h AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY label ORDER BY i ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), 0) AS base FROM g),
-    p AS (SELECT bin, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY bin) AS p, CAST(base AS DOUBLE) / nullif(sum(base) OVER (PARTITION BY bin), 0) AS q FROM h),
-    j AS (SELECT bin, round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 4) AS jsd
-          FROM p WHERE q IS NOT NULL GROUP BY bin)
-    SELECT CAST(bin AS VARCHAR) AS bin, jsd, jsd >= 0.01 AS shifted FROM j""",
+    "regime_shift": f"WITH {CLAIMS}, {SHIFTS} SELECT CAST(bin AS VARCHAR) AS bin, jsd, jsd >= 0.3 AS shifted FROM j",
     "herfindahl": f"""WITH {CLAIMS}, c AS (SELECT fp, CAST(count(*) AS DOUBLE) AS n FROM claims WHERE fp IS NOT NULL GROUP BY fp)
     SELECT round(sum(n * n) / (sum(n) * sum(n)), 9) AS herfindahl, CAST(sum(n) AS BIGINT) AS total, count(*) AS parts FROM c""",
     "author_ratio": _series(1) + " SELECT fp, CAST(sum(posts) AS BIGINT) AS posts, CAST(sum(authors) AS BIGINT) AS author_bins, round(CAST(sum(authors) AS DOUBLE) / sum(posts), 6) AS ratio FROM s GROUP BY fp ORDER BY posts DESC, fp LIMIT 20",

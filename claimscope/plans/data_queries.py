@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimscope.operators import changefeed, timestamps
+from claimscope.plans import sql
 from claimscope.runtime import table
 from claimscope.streaming import late_events
 
@@ -58,7 +59,22 @@ state AS (
   WHERE t.last > t.gone)
 """
 
+_REWRITTEN = " UNION ALL ".join(
+    f"SELECT '{t}' AS record_table, CAST({key} AS VARCHAR) AS record_key, us AS time_us FROM {n} WHERE us IS NOT NULL AND NOT regexp_matches({text}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d{{6}}Z$')"
+    for t, n, key, text in (("posts", "ip", "seq", "created_at"), ("claim_history", "ic", "seq", "created_at"), ("actor_identity", "ia", "did", "resolver_last_success_at"))
+)
+_COUNTED = f"""WITH {sql.instants("ip", "posts", "created_at", "client_zone")},
+ e AS (SELECT uri, arg_min(coalesce(us, -9000000000000000000), seq) AS us FROM ip WHERE uri IS NOT NULL GROUP BY uri),
+ d AS (SELECT v.*, e.us, epoch_us(v.ctime) - e.us - 259200000000 AS over_us FROM post_events v JOIN e ON e.uri = v.event_uri WHERE v.ctime IS NOT NULL AND e.us > -9000000000000000000)"""
+
 ORACLE = {
+    "p2_found": f"""WITH {sql.instants("ip", "posts", "created_at", "client_zone")}, {sql.instants("ic", "claim_history", "created_at")}, {sql.instants("ia", "actor_identity", "resolver_last_success_at")} {_REWRITTEN}""",
+    "p5_found": _COUNTED
+    + """, f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY event_uri ORDER BY ctime, event_no) = 1),
+      r AS (SELECT claim_fingerprint AS fingerprint, CAST(floor(us / 3600000000.0) * 3600 AS BIGINT) AS hour_epoch, count(*) AS n, count(DISTINCT author) AS a FROM f WHERE over_us <= 0 AND claim_fingerprint IS NOT NULL GROUP BY 1, 2)
+      SELECT coalesce(r.fingerprint, h.fingerprint) AS fingerprint, coalesce(r.hour_epoch, h.hour_epoch) AS hour_epoch
+      FROM r FULL JOIN fingerprint_hourly h ON r.fingerprint = h.fingerprint AND r.hour_epoch = h.hour_epoch WHERE n IS DISTINCT FROM event_count OR a IS DISTINCT FROM unique_authors""",
+    "p5_late_report": _COUNTED + " SELECT CAST(floor(over_us / 86400000000.0) AS BIGINT) AS days_late, count(*) AS deliveries, count(DISTINCT event_uri) AS events FROM d WHERE over_us > 0 GROUP BY 1",
     "p3_found": _STATE + "SELECT did, handle, is_active FROM state",
     "p3_actor_differences": _STATE
     + """SELECT s.did, s.handle, s.is_active, coalesce(b.handle, '') AS held_handle, CAST(b.is_active AS INTEGER) AS held_active

@@ -7,13 +7,13 @@ from pyspark.sql import Window
 
 from claimscope.operators import cluster, detect
 from claimscope.operators.timestamps import instant_micros
-from claimscope.plans.cluster_queries import _bursts, claims, decisions
+from claimscope.plans.cluster_queries import SHIFTS, _bursts, _series, claims, decisions
 from claimscope.runtime import table
 
 
 def _detections(spark, d):
     bursts = detect.burst_detections(cluster.bursts(cluster.timeseries(claims(spark, d))))
-    return bursts.unionByName(detect.regime_detections(cluster.regime_shifts(cluster.label_vectors(decisions(spark, d), 6), 8, 0.01)))
+    return bursts.unionByName(detect.regime_detections(cluster.regime_shifts(cluster.label_vectors(decisions(spark, d)))))
 
 
 def burst_severities(spark, d):
@@ -69,6 +69,35 @@ def stream_health(spark, d):
 
 QUERIES = {f.__name__: f for f in (burst_severities, severity_topk, sensor_summary, concentration, author_velocity, cooled_detections, stream_health)}
 
+_SEVERE = "CASE WHEN burst_score >= 5 THEN 'high' WHEN burst_score >= 3 THEN 'med' WHEN burst_score >= 2 THEN 'low' ELSE 'info' END"
+_DETECTIONS = (
+    _bursts(1) + f", {SHIFTS}, "
+    f"""det AS (SELECT 'burst' AS detector_id, 'fingerprint' AS subject_type, fp AS subject_value, burst_score AS score, {_SEVERE} AS severity FROM bursts WHERE burst_score >= 1
+      UNION ALL SELECT 'regime_shift', 'global', CAST(bin AS VARCHAR), jsd, CASE WHEN jsd >= 0.7 THEN 'high' WHEN jsd >= 0.5 THEN 'med' ELSE 'low' END FROM j WHERE jsd >= 0.3),
+    rk AS (SELECT *, list_position(['info', 'low', 'med', 'high', 'critical'], severity) AS sr FROM det)"""
+)
+#: The moving average of the rows (k, i, x) in order of i.
+_EWMA = """ew AS (SELECT k, i, x, x AS base FROM vals WHERE i = 1 UNION ALL
+  SELECT v.k, v.i, v.x, CASE WHEN e.base = 0 THEN v.x ELSE 2 / 25.0::DOUBLE * v.x + (1 - 2 / 25.0::DOUBLE) * e.base END FROM ew e JOIN vals v ON v.k = e.k AND v.i = e.i + 1)"""
+
 ORACLE = {
+    "severity_topk": _DETECTIONS + """, own AS (SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY detector_id ORDER BY sr DESC, score DESC, subject_type, subject_value) <= 20)
+      SELECT detector_id, subject_value, severity, score FROM own ORDER BY sr DESC, score DESC, detector_id, subject_type, subject_value LIMIT 100""",
+    "sensor_summary": _DETECTIONS + " SELECT detector_id, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in detect.SEVERITIES) + " FROM det GROUP BY detector_id",
+    "concentration": _series(1).replace("WITH", "WITH RECURSIVE", 1) + f""", h AS (SELECT bin, sum(CAST(posts AS DOUBLE) * posts) / (CAST(sum(posts) AS DOUBLE) * CAST(sum(posts) AS DOUBLE)) AS x FROM s GROUP BY bin),
+      vals AS (SELECT 1 AS k, bin, x, row_number() OVER (ORDER BY bin) AS i FROM h), {_EWMA}
+      SELECT CAST(bin AS VARCHAR) AS bin, round(x, 6) AS herfindahl, round(base, 6) AS baseline, round((x - base) / base, 4) AS increase,
+        CASE WHEN (x - base) / base > 0.5 OR x > 0.3 THEN CASE WHEN x > 0.6 THEN 'high' WHEN x > 0.4 THEN 'med' WHEN x > 0.3 THEN 'low' ELSE 'info' END END AS severity FROM ew JOIN vals USING (k, i, x)""",
+    "author_velocity": _series(6).replace("WITH", "WITH RECURSIVE", 1) + f""", top AS (SELECT fp FROM s GROUP BY fp ORDER BY sum(posts) DESC, fp LIMIT 20),
+      vals AS (SELECT fp AS k, bin, CAST(authors AS DOUBLE) / posts AS x, row_number() OVER (PARTITION BY fp ORDER BY bin) AS i FROM s WHERE fp IN (SELECT fp FROM top)), {_EWMA},
+      b AS (SELECT k, i, x, lag(base) OVER (PARTITION BY k ORDER BY i) AS base FROM ew), c AS (SELECT *, (x - base) / base AS c FROM b)
+      SELECT k AS fp, CAST(bin AS VARCHAR) AS bin, round(c.x, 6) AS ratio, round(base, 6) AS baseline, round(c, 4) AS change,
+        CASE WHEN c > 2 THEN 'high' WHEN c > 1 THEN 'med' WHEN c > 0.5 THEN 'low' WHEN c < -0.8 THEN 'high' WHEN c < -0.6 THEN 'med' WHEN c < -0.4 THEN 'low' END AS severity FROM c JOIN vals USING (k, i)""",
+    "cooled_detections": _series(6).replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT bin, row_number() OVER (ORDER BY bin) AS no FROM (SELECT DISTINCT bin FROM s)),
+      r AS (SELECT fp, no, log2(CAST(posts AS DOUBLE)) AS score, CASE WHEN posts >= 8 THEN 3 ELSE 1 END AS sr, row_number() OVER (PARTITION BY fp ORDER BY no) AS i FROM s JOIN w USING (bin) WHERE posts >= 3),
+      f AS (SELECT fp, i, true AS emitted, no AS ln, score AS ls, sr AS lr FROM r WHERE i = 1 UNION ALL
+        SELECT r.fp, r.i, go, CASE WHEN go THEN r.no ELSE ln END, CASE WHEN go THEN r.score ELSE ls END, CASE WHEN go THEN r.sr ELSE lr END
+        FROM (SELECT r.*, f.ln, f.ls, f.lr, r.no - f.ln >= 5 OR r.sr > f.lr OR r.score - f.ls >= 0.5 AS go FROM f JOIN r ON r.fp = f.fp AND r.i = f.i + 1) r)
+      SELECT emitted, count(*) AS n FROM f GROUP BY emitted""",
     "burst_severities": _bursts(1) + " SELECT CASE WHEN burst_score >= 5 THEN 'high' WHEN burst_score >= 3 THEN 'med' WHEN burst_score >= 2 THEN 'low' ELSE 'info' END AS severity, count(*) AS n FROM bursts WHERE burst_score >= 1 GROUP BY 1",
 }

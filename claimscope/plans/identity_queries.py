@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimscope.functions import claim_text as ct
 from claimscope.operators import identity, lifecycle
 from claimscope.operators.timestamps import instant_micros
+from claimscope.plans import sql
 from claimscope.plans.cluster_queries import AS_OF, CLAIMS, claims
 from claimscope.runtime import table
 
@@ -139,6 +140,16 @@ _INTERVAL = f"""WITH {_ACCOUNTS}, {_weeks('family')},
           QUALIFY row_number() OVER (PARTITION BY b.shard, b.week ORDER BY a.week DESC) = 1)"""
 
 ORACLE = {
+    "resolver_batch": f"""WITH {sql.instants("ia", "actor_identity", "resolver_last_success_at")}, a AS (SELECT *, coalesce(us, epoch_us(last_seen_at)) AS tried FROM ia)
+      SELECT did, resolver_status FROM a WHERE resolver_status IS NULL OR tried < {AS_OF_US} - CASE resolver_status WHEN 'ok' THEN 86400 WHEN 'error' THEN 300 WHEN 'not_found' THEN 604800 END * CAST(1000000 AS BIGINT)
+      ORDER BY resolver_status IS NOT NULL, first_seen_at NULLS FIRST, did LIMIT 200""",
+    "vintage_buckets": f"""WITH l AS (SELECT list(CAST(CAST(b AS DATE) AS VCHAR) ORDER BY b) AS b FROM ({_BOUNDS})), i AS (SELECT CAST({_INDEX} AS INTEGER) AS bucket FROM actor_identity)
+      SELECT bucket, count(*) AS n, any_value(CASE WHEN bucket < 0 THEN 'v_unknown' WHEN bucket = 0 THEN 'v0_pre_' || b[1] WHEN bucket < len(b) THEN 'v' || bucket || '_' || b[bucket] || '_to_' || b[bucket + 1]
+        ELSE 'v' || bucket || '_post_' || b[-1] END) AS label FROM i, l GROUP BY bucket""".replace("VCHAR", "VARCHAR"),
+    "regime_runs": _INTERVAL
+    + """, k AS (SELECT *, coalesce(to_week - lag(to_week) OVER (PARTITION BY shard ORDER BY to_week, from_week) > 60, true) AS fresh FROM ch),
+      r AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY shard ORDER BY to_week, from_week) AS run FROM k), m AS (SELECT shard, run, min(from_week) AS f, max(to_week) AS t, count(*) AS merged FROM r GROUP BY ALL)
+      SELECT shard, CAST(f AS VARCHAR) AS from_week, CAST(t AS VARCHAR) AS to_week, CAST(f + CAST(floor((t - f) / 2) AS INTEGER) AS VARCHAR) AS midpoint, merged FROM m""",
     "resolver_histogram": "SELECT coalesce(resolver_status, 'unresolved') AS status, count(*) AS n FROM actor_identity GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM actor_identity",
     "vintage_shifts": f"""WITH s AS (SELECT unnest([-14, -7, 0, 7, 14]) AS shift), b AS ({_BOUNDS}), x AS (SELECT did, shift, did_created_at FROM actor_identity, s),
       y AS (SELECT did, shift, did_created_at, count(b) FILTER (CAST(b AS DATE) + shift <= CAST(did_created_at AS DATE)) AS k FROM x, b GROUP BY ALL)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from claimscope.functions import claim_text as ct
 from claimscope.operators import drift, lifecycle
 from claimscope.operators.timestamps import instant_micros
+from claimscope.plans import sql
 from claimscope.plans.cluster_queries import CLAIMS, claims
 from claimscope.runtime import stored, table
 
@@ -140,9 +141,9 @@ def top_authors(spark, d):
 
 
 def unlabeled_antijoin(spark, d):
-    """Posts that hold no claim."""
-    held = table(spark, d, "claim_history").select(F.col("post_uri").alias("subject_uri"))
-    return drift.unlabeled(table(spark, d, "posts").select("uri", "seq"), held)
+    """Claims whose post isn't stored."""
+    claimed = table(spark, d, "claim_history").where("post_uri IS NOT NULL").select(F.col("post_uri").alias("uri"), "seq")
+    return drift.unlabeled(claimed, table(spark, d, "posts").select(F.col("uri").alias("subject_uri")))
 
 
 def label_reconcile(spark, d):
@@ -166,7 +167,21 @@ _TEXTS = "t AS (SELECT seq, coalesce(text, '') AS text FROM posts)"
 _FIRST = "f AS (SELECT uri, arg_min(coalesce(text, ''), seq) AS text FROM posts WHERE uri IS NOT NULL GROUP BY uri)"
 
 ORACLE = {
-    "extract_dates": rf"WITH {_TEXTS} SELECT date, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(\d{{4}}-\d{{2}}-\d{{2}})', 1)) AS date FROM t) GROUP BY date",
+    "claim_signals": f"WITH {_TEXTS} SELECT seq, "
+    + ", ".join(f"array_to_string({f}, '|') AS {n}" for n, f in (("dates", sql.dates("text")), ("quantities", sql.quantities("text")), ("entities", sql.entities("text")), ("modal", sql.modals("text")), ("spans", sql.spans("text"))))
+    + " FROM t",
+    "extract_dates": f"WITH {_TEXTS} SELECT date, count(*) AS n FROM (SELECT unnest({sql.dates('text')}) AS date FROM t) GROUP BY date",
+    "complexity_gate": f"WITH {_TEXTS} SELECT {sql.complex_enough('text')} AS passes, count(*) AS posts FROM t GROUP BY 1",
+    "prepositions": f"WITH {_TEXTS} SELECT token, count(*) AS n FROM (SELECT unnest({sql.prepositions('text')}) AS token FROM t) GROUP BY token",
+    "assertiveness": f"WITH {_TEXTS} SELECT round(least(1.0, len({sql.modals('text')}) / 3.0), 6) AS assertiveness, {sql.attributed('text')} AS attributed, count(*) AS posts FROM t GROUP BY ALL",
+    "time_inconsistency": f"WITH {sql.POSTS} SELECT uri AS subject_uri, {sql.FIRST_DATE} AS date_mentioned FROM pp WHERE epoch_us(TRY_CAST({sql.FIRST_DATE} AS DATE)) > us",
+    "repeat_claim": f"WITH {sql.POSTS}, {sql.REPEATED} SELECT uri AS subject_uri, prior AS prior_uri FROM rr",
+    "laundering": f"WITH {sql.POSTS}, {sql.LAUNDERED} SELECT uri AS subject_uri, prior AS prior_uri FROM ll",
+    "drift_labels": f"""WITH {sql.POSTS}, {sql.REPEATED}, {sql.LAUNDERED}, {sql.SURER}, x AS (
+      SELECT 'provenance_laundering_possible' AS label FROM ll UNION ALL SELECT 'repeat_claim_no_new_evidence' FROM rr
+      UNION ALL SELECT 'quote_mismatch' FROM pp WHERE (contains(text, '"') OR contains(lower(text), 'according to')) AND NOT links AND NOT facets
+      UNION ALL SELECT 'time_inconsistency' FROM pp WHERE epoch_us(TRY_CAST({sql.FIRST_DATE} AS DATE)) > us
+      UNION ALL SELECT 'assertiveness_increase_possible' FROM aa WHERE sure - prior.s >= 0.2 AND hash = prior.h) SELECT label, count(*) AS n FROM x GROUP BY label""",
     "link_domains": rf"""WITH {_TEXTS}, u AS (SELECT seq, unnest(regexp_extract_all(text, 'https?://\S+')) AS u FROM t),
       h AS (SELECT seq, regexp_replace(regexp_extract(lower(u), '^https?://([^/?#:]*)', 1), '^www\.', '') AS domain FROM u)
       SELECT domain, count(DISTINCT seq) AS posts FROM h WHERE domain <> '' GROUP BY domain""",
@@ -178,7 +193,7 @@ ORACLE = {
       SELECT a.seq, arg_max(b.seq, (b.ts, b.seq)) AS prior_seq FROM c a JOIN c b ON a.author = b.author AND a.fp = b.fp AND b.ts < a.ts GROUP BY a.seq""",
     "edges_degree": "WITH e AS (SELECT author_did AS src, nullif(regexp_extract(reply_parent_uri, '^at://(did:[^/]*)', 1), '') AS dst FROM posts) SELECT dst, count(*) AS replies, count(DISTINCT src) AS accounts FROM e WHERE dst IS NOT NULL AND src <> dst GROUP BY dst",
     "top_authors": "SELECT author, count(*) AS events FROM post_events WHERE author IS NOT NULL GROUP BY author ORDER BY events DESC, author LIMIT 20",
-    "unlabeled_antijoin": "SELECT uri, seq FROM posts p WHERE NOT EXISTS (SELECT 1 FROM claim_history c WHERE c.post_uri = p.uri)",
+    "unlabeled_antijoin": "SELECT post_uri AS uri, seq FROM claim_history c WHERE post_uri IS NOT NULL AND NOT EXISTS (SELECT 1 FROM posts p WHERE p.uri = c.post_uri)",
     "label_reconcile": """WITH c AS (SELECT DISTINCT post_uri AS subject, evidence_class AS label, provenance = 'jetstream' AS want FROM claim_history WHERE post_uri IS NOT NULL AND provenance IS NOT NULL),
       b AS (SELECT subject, label, bool_or(want) AS w, bool_or(NOT want) AS h FROM c GROUP BY ALL)
       SELECT CASE WHEN w AND h THEN 'keep' WHEN w THEN 'insert' ELSE 'expire' END AS action, count(*) AS n FROM b GROUP BY 1""",
