@@ -75,14 +75,15 @@ def text_groups(texts: DataFrame, key: str = "seq", text: str = "text") -> DataF
     values = rows.groupBy(*_hashed(F.col("text"))).agg(F.min("seq").alias("first"), F.count("*").alias("n"), F.first("text").alias("text"))
     kinds = "h1 long, h2 long, first long, n long, k1 long, k2 long, units array<long>"
     coded = stored(values.mapInArrow(_canonical_texts, kinds))
+    # each distinct plain form has an integer, and what its values add up to
+    forms = coded.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    forms = stored(forms.withColumn("form", F.monotonically_increasing_id()))
     unit = F.expr("transform(sequence(0, size(units) - 1, 2), i -> struct(units[i] AS k1, units[i + 1] AS k2))").cast(_PAIR)
-    units = coded.where("size(units) > 0").select("h1", "h2", F.explode(unit).alias("u")).select("h1", "h2", "u.*")
-    names = _numbered(units.select("k1", "k2"))
-    tuples = units.join(names, ["k1", "k2"]).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("tuple"))
-    forms = _numbered(coded.select("k1", "k2")).withColumnRenamed("id", "form")
-    values = coded.drop("units").join(forms, ["k1", "k2"]).join(tuples, ["h1", "h2"], "left").select("h1", "h2", "form", "tuple", "first", "n")
-    values = stored(values)
-    held = values.where("tuple IS NOT NULL").select("form", "tuple").distinct()
+    named = coded.where("size(units) > 0")
+    units = named.select("h1", "h2", F.explode(unit).alias("u")).select("h1", "h2", "u.*")
+    tuples = units.join(_numbered(units.select("k1", "k2")), ["k1", "k2"]).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("tuple"))
+    held = named.select("h1", "h2", "k1", "k2").join(tuples, ["h1", "h2"]).join(forms.select("k1", "k2", "form"), ["k1", "k2"])
+    held = stored(held.select("form", "tuple").distinct())
     led = held.join(held.groupBy("tuple").agg(F.min("form").alias("leader")), "tuple").select("form", "leader").distinct()
     span = led.groupBy("form").agg(F.min("leader").alias("leader"), F.max("leader").alias("other"))
     chains = span.where("leader < other").select("form", F.col("leader").alias("a")).join(led.select("form", F.col("leader").alias("b")), "form")
@@ -91,11 +92,10 @@ def text_groups(texts: DataFrame, key: str = "seq", text: str = "text") -> DataF
     if not chains.isEmpty():
         roots = components(chains).select(F.col("node").alias("leader"), "root")
         span = span.join(roots, "leader", "left").select("form", F.coalesce("root", "leader").alias("leader"))
-    forms = values.groupBy("form").agg(F.min("first").alias("first"), F.sum("n").alias("n")).join(span, "form", "left")
-    forms = forms.select("form", F.coalesce("leader", "form").alias("leader"), "first", "n")
+    forms = forms.join(span, "form", "left").select("k1", "k2", F.coalesce("leader", "form").alias("leader"), "first", "n")
     groups = forms.groupBy("leader").agg(F.min("first").alias("first_seq"), F.sum("n").alias("copies")).where("copies > 1")
-    named = values.select("h1", "h2", "form").join(forms.select("form", "leader"), "form").join(groups, "leader").select("h1", "h2", "first_seq", "copies")
-    return rows.select("seq", *_hashed(F.col("text"))).join(named, ["h1", "h2"]).select("seq", "first_seq", "copies")
+    found = coded.select("h1", "h2", "k1", "k2").join(forms.join(groups, "leader"), ["k1", "k2"]).select("h1", "h2", "first_seq", "copies")
+    return rows.select("seq", *_hashed(F.col("text"))).join(found, ["h1", "h2"]).select("seq", "first_seq", "copies")
 
 
 def record_groups(records: DataFrame, key: str, exact: list[str], canonical: str) -> DataFrame:
