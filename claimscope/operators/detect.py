@@ -80,6 +80,45 @@ def envelope(d: dict, window: dict, evidence: list[dict] = ()) -> dict:
     return e | {"receipt_hash": receipt(e)}
 
 
+def plain_sql(sql: str) -> str:
+    """A statement with its white space collapsed, so that layout doesn't change its name."""
+    return " ".join(sql.split())
+
+
+# Kinds of evidence and of subjects that an envelope may have.
+EVIDENCE = ("query_commitment", "event_range", "hashset_root", "note")
+SUBJECTS = ("did", "uri", "fingerprint", "family", "global", "stream")
+
+
+def query_evidence(sql: str, params: list, result: str) -> dict:
+    return {"kind": "query_commitment", "ref": receipt({"sql_norm": plain_sql(sql), "params": params, "result_hash": result})}
+
+
+def range_evidence(start: str, end: str, events: int) -> dict:
+    return {"kind": "event_range", "ref": receipt({"cursor_start": start, "cursor_end": end, "events_in": events})}
+
+
+def set_evidence(subjects: list, total: int) -> dict:
+    return {"kind": "hashset_root", "ref": receipt({"subjects": sorted(subjects), "n": total})}
+
+
+def note_evidence(text: str) -> dict:
+    return {"kind": "note", "ref": text[:CHARS]}
+
+
+def faults(e: dict) -> list[str]:
+    """What is wrong with an envelope; nothing if it is empty."""
+    subject = e.get("subject") or {}
+    checks = {
+        "schema version": e.get("envelope_schema_version") == 1, "subject": bool(subject), "subject type": not subject or subject.get("type") in SUBJECTS,
+        "severity": e.get("severity") in SEVERITIES, "evidence of a named window": bool(e.get("evidence")) or not e.get("window_fingerprint"),
+        "evidence kind": all(x.get("kind") in EVIDENCE for x in e.get("evidence", ())),
+        "length of explain": all(len(v) <= (CHARS if isinstance(v, str) else LISTED) for v in e.get("explain", {}).values() if isinstance(v, (str, list))),
+        "receipt": e.get("receipt_hash") == receipt(e | {"receipt_hash": ""}),
+    }
+    return [name for name, ok in checks.items() if not ok]
+
+
 def severity_rank(severity: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), severity).cast("int") - 1, F.lit(-1))
 
@@ -242,6 +281,31 @@ def health_step(s: dict, events: int, seconds: float, backlog: int, dropped: int
     return s, row
 
 
+# Version of a saved baseline, and its age in seconds up to which it is taken.
+SAVED_VERSION, SAVED_AGE = 1, 3600
+
+
+def saved_health(state: dict, at: float) -> dict:
+    """What is kept of the health machine when it stops: its baseline and how long it has seen windows."""
+    return {"version": SAVED_VERSION, "baseline": state["baseline"], "seen": state["seen"], "at": at}
+
+
+def restored_health(saved: dict | None, now: float) -> dict:
+    """The machine's first state: from what was saved, in state ok once warm, or cold if that is old, of another version or empty."""
+    if not saved or saved.get("version") != SAVED_VERSION or now - saved.get("at", 0) > SAVED_AGE or saved.get("baseline", 0) <= 0:
+        return dict(HEALTH_START)
+    warm = saved["seen"] >= HEALTH["warmup"]
+    return dict(HEALTH_START, baseline=saved["baseline"], seen=saved["seen"], state="ok" if warm else "warming_up")
+
+
+def health_detections(rows: DataFrame) -> DataFrame:
+    """Transitions and heartbeats of the health machine as detections; a recovery is for information."""
+    return rows.where("event <> ''").select(
+        F.lit("platform_health").alias("detector_id"), F.lit("stream").alias("subject_type"), F.col("stream").alias("subject_value"), F.col("event").alias("type"),
+        F.round(1 - F.col("coverage"), 6).alias("score"), F.when(F.col("event") == "platform_recovered", "info").otherwise("high").alias("severity"), "window_no",
+    )
+
+
 def stream_lag(arrivals: DataFrame, alpha: float = 0.2, most: float = 600.0) -> DataFrame:
     """(window, lag_s): the moving average of the lag of arrivals (window, at, no, lag_s) in order, at the end of each window.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimscope.functions import claim_text as ct
+from claimscope.operators import ordered
 
 # The dates that part account vintages, a quarter of 91 days apart.
 FIRST_BOUNDARY, LAST_BOUNDARY, QUARTER = "2023-04-24", "2026-04-20", 91
@@ -58,6 +59,53 @@ def resolver_batch(actors: DataFrame, as_of_us: int, limit: int = 20) -> DataFra
     return actors.where(due).orderBy(*order).limit(limit)
 
 
+def reduced(deltas: DataFrame, hot: int = ordered.HOT) -> DataFrame:
+    """(did, handle, is_active, first_seen_at, last_seen_at, last_time_us, events): deltas reduced field by field in order of arrival.
+
+    A delta sets handle and activity only if it is not older than any before it, and only those that it has; first and last sight
+    don't depend on order. An account is active unless it is said not to be; a null activity means not. Deltas without time set nothing.
+    """
+    rows = deltas.where("did IS NOT NULL").select("did", F.col("row_no").cast("long").alias("no"), F.col("time_us").cast("long").alias("t"), "has_handle", "handle", "has_active", "active", "observed_at")
+    rows = ordered.latest(rows, ["did"], F.col("no"), F.col("t"), "before", True, hot)
+    current = F.col("t").isNotNull() & (F.col("before").isNull() | (F.col("t") >= F.col("before")))
+    last = lambda has, value: F.max(F.when(current & F.col(has), F.struct("no", F.col(value).alias("v"))))
+    out = rows.groupBy("did").agg(
+        last("has_handle", "handle").alias("h"), last("has_active", "active").alias("a"), F.min("observed_at").alias("first_seen_at"),
+        F.max("observed_at").alias("last_seen_at"), F.max("t").alias("last_time_us"), F.count("*").alias("events"),
+    )
+    active = F.when(F.col("a").isNull(), F.lit(True)).otherwise(F.coalesce("a.v", F.lit(False)))
+    return out.select("did", F.col("h.v").alias("handle"), active.alias("is_active"), "first_seen_at", "last_seen_at", "last_time_us", "events")
+
+
+def relabelled(accounts: DataFrame, both_as: str = "labelwatch_seed") -> DataFrame:
+    """Accounts (source, ...) with those of both sources counted as one of them."""
+    return accounts.withColumn("source", F.when(F.col("source") == "both", both_as).otherwise(F.col("source")))
+
+
+def admissible_families(effects: dict[str, DataFrame], shifts: list[str], least_buckets: int = 2, least_shifts: int = 3) -> DataFrame:
+    """(family, buckets, shifts, fresh, with_both, holds) of families that clear the floor in enough buckets of the base effects.
+
+    effects: family_effects by name: base, each of the shifts, fresh and both. A family holds if it also clears in enough of the
+    shifts, and if fresh accounts and those of both sources keep the direction of its largest effect.
+    """
+    def clear(df: DataFrame) -> DataFrame:
+        largest = F.max_by("delta_pp", F.abs("delta_pp"))
+        return df.where("clears").groupBy("family").agg(F.count("*").alias("buckets"), F.signum(largest).alias("way"))
+
+    base = clear(effects["base"]).where(F.col("buckets") >= least_buckets)
+    shifted = None
+    for s in shifts:
+        part = clear(effects[s]).where(F.col("buckets") >= least_buckets).select("family")
+        shifted = part if shifted is None else shifted.unionByName(part)
+    shifted = shifted.groupBy("family").agg(F.count("*").alias("shifts"))
+    ways = {n: effects[n].groupBy("family").agg(F.signum(F.max_by("delta_pp", F.abs("delta_pp"))).alias(n)) for n in ("fresh", "both")}
+    out = base.join(shifted, "family", "left")
+    for n, w in ways.items():
+        out = out.join(w, "family", "left").withColumn(n, F.coalesce(F.col(n) == F.col("way"), F.lit(False)))
+    out = out.select("family", "buckets", F.coalesce("shifts", F.lit(0)).alias("shifts"), "fresh", F.col("both").alias("with_both"))
+    return out.withColumn("holds", (F.col("shifts") >= least_shifts) & F.col("fresh") & F.col("with_both"))
+
+
 def written_back(actors: DataFrame, resolved: DataFrame) -> DataFrame:
     """Accounts after resolutions (did, status, handle, pds_host, at_us): inserted if unknown, else changed field by field."""
     r = resolved.groupBy("did").agg(F.max(F.struct("at_us", "status", "handle", "pds_host")).alias("r"))

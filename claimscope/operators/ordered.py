@@ -46,7 +46,7 @@ def previous(rows: DataFrame, keys: list[str], at: Column, order: list[Column |
 def latest(rows: DataFrame, keys: list[str], at: Column, value: Column, to: str, strictly: bool, hot: int = HOT) -> DataFrame:
     """The rows with ``to``: the greatest value among rows of the key that are not later, or with ``strictly`` earlier; nulls don't count.
 
-    Values must grow with ``at``: a struct that begins with it does.
+    Nulls sort first, so of structs the one with the latest beginning is the greatest.
     """
     held, any_hot = sliced(rows.withColumn("_v", value), keys, at, hot)
     frame = Window.partitionBy(*keys, "slice").orderBy(at).rangeBetween(Window.unboundedPreceding, -1 if strictly else 0)
@@ -56,7 +56,7 @@ def latest(rows: DataFrame, keys: list[str], at: Column, value: Column, to: str,
         earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.select(*keys, "slice", F.max("_v").over(earlier).alias("_carried"))
         held = held.join(ends, [*keys, "slice"], "left")
-        found = F.coalesce(found, F.col("_carried"))
+        found = F.greatest(found, F.col("_carried"))
     return held.withColumn(to, found).drop("_v", "_carried", "slice")
 
 

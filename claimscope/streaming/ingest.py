@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from claimscope.functions import claim_text as ct
+from claimscope.runtime import stored
 
 POST, REPOST = "app.bsky.feed.post", "app.bsky.feed.repost"
 
@@ -76,71 +77,115 @@ def edges_of(events: DataFrame) -> DataFrame:
     return each.where("e.dst <> src_did").select("src_did", F.col("e.dst").alias("dst_did"), F.col("e.type").alias("type"), "ctime")
 
 
+def stored_batch(folder: str, config: ct.FingerprintConfig = ct.DEFAULT):
+    """A sink for a stream of messages: events, claims, edges and identity changes of a batch, each in a folder of its own.
+
+    A batch that is run again overwrites itself, and read_ingested leaves out what was written before the batch was done: so a batch counts
+    as a whole or not at all.
+    """
+    def write(raw: DataFrame, batch: int) -> None:
+        raw = stored(raw.select("value"))
+        events = commits(raw)
+        parts = {"events": events, "claims": claims_of(events, config), "edges": edges_of(events), "identity": identity_changes(raw)}
+        for name, df in parts.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+        raw.sparkSession.createDataFrame([(batch,)], "batch long").write.mode("overwrite").parquet(f"{folder}/done/batch_no={batch}")
+
+    return write
+
+
+def read_ingested(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """All finished batches of events, claims, edges or identity; of events, each delivery."""
+    done = spark.read.parquet(f"{folder}/done").select("batch").distinct()
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}").withColumn("batch", F.col("batch").cast("long"))
+    return rows.join(done, "batch", "left_semi")
+
+
+def ingest(messages_: DataFrame, folder: str, config: ct.FingerprintConfig = ct.DEFAULT):
+    """Starts the stream that writes messages into the folder as they come."""
+    return messages_.writeStream.foreachBatch(stored_batch(folder, config)).option("checkpointLocation", f"{folder}/progress")
+
+
 def hourly(events: DataFrame, lateness: str = "72 hours") -> DataFrame:
     """Events of each hour by a watermark over the whole stream; use late_events where each record's own lateness counts."""
     return events.withWatermark("created_at", lateness).groupBy(F.window("created_at", "1 hour"), "kind").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "kind", "n")
 
 
+def _days(n: int | None) -> int | None:
+    return None if n is None else n * 86_400_000
+
+
+def _clock(n: int | None) -> str:
+    return "none" if n is None else "ProcessingTime"
+
+
 class _Versions(StatefulProcessor):
-    """Per uri: the hash of the last content."""
+    """Per uri: the hash of the last content and its time."""
+
+    def __init__(self, ttl_ms: int | None) -> None:
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "hash string")
+        self.last = handle.getValueState("last", "hash string, at long", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        for pdf in rows:
-            out = []
-            held = self.last.get()[0] if self.last.exists() else None
-            for r in pdf.sort_values("time_us").itertuples():
-                out.append("inserted" if held is None else "unchanged" if held == r.hash else "updated")
-                held = r.hash
-            self.last.update((held,))
-            yield pd.DataFrame({"uri": [key[0]] * len(out), "outcome": out})
+        # all chunks of the batch together, so that its rows are in one order
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("time_us", kind="stable")
+        held = self.last.get()[0] if self.last.exists() else None
+        before = [held, *pdf["hash"].iloc[:-1]]
+        outcome = ["inserted" if b is None else "unchanged" if b == h else "updated" for b, h in zip(before, pdf["hash"])]
+        self.last.update((pdf["hash"].iloc[-1], int(pdf["time_us"].iloc[-1])))
+        yield pd.DataFrame({"uri": [key[0]] * len(pdf), "outcome": outcome})
 
     def close(self) -> None:
         pass
 
 
-def versioned(events: DataFrame) -> DataFrame:
-    """(uri, outcome) of each delivery in a stream: inserted, updated or unchanged, with state by uri (RocksDB)."""
+def versioned(events: DataFrame, days: int | None = None) -> DataFrame:
+    """(uri, outcome) of each delivery in a stream: inserted, updated or unchanged, with state by uri (RocksDB).
+
+    With ``days``, an event that nothing was heard of for so long is forgotten, as its row is by then. That goes by the clock, so it is for
+    streams that run on; one that ends when all is read keeps what it has. A batch is in order of its times.
+    """
     hashed = events.select("uri", "time_us", F.sha2(F.concat_ws("\x1f", "cid", "text"), 256).alias("hash"))
-    return hashed.groupBy("uri").transformWithStateInPandas(_Versions(), "uri string, outcome string", "Append", "none")
+    return hashed.groupBy("uri").transformWithStateInPandas(_Versions(_days(days)), "uri string, outcome string", "Append", _clock(days))
 
 
 class _SecondAuthor(StatefulProcessor):
     """Per fingerprint: the last claim, and the last one by another author; no more is needed to judge the next."""
 
-    def __init__(self, ttl_us: int) -> None:
-        self.ttl_us = ttl_us
+    def __init__(self, ttl_us: int, keep_ms: int | None) -> None:
+        self.ttl_us, self.keep_ms = ttl_us, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "author string, at long, other_at long")
+        self.last = handle.getValueState("last", "author string, at long, other_at long", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         author, at, other_at = self.last.get() if self.last.exists() else (None, None, None)
-        for pdf in rows:
-            out = []
-            pdf = pdf.sort_values(["at", "post_uri"])
-            for r in pdf.itertuples():
-                if r.author != author:
-                    other_at = at
-                out.append(other_at is not None and r.at - other_at <= self.ttl_us)
-                author, at = r.author, int(r.at)
-            yield pd.DataFrame({"fp": key[0], "post_uri": pdf["post_uri"], "passes": out})
+        pdf, out = pd.concat(list(rows), ignore_index=True).sort_values(["at", "post_uri"], kind="stable"), []
+        for a, t in zip(pdf["author"], pdf["at"].tolist()):
+            if a != author:
+                other_at = at
+            # a claim that comes after later ones is not judged by what follows it
+            out.append(other_at is not None and 0 <= t - other_at <= self.ttl_us)
+            author, at = a, t
+        yield pd.DataFrame({"fp": key[0], "post_uri": pdf["post_uri"], "passes": out})
         self.last.update((author, at, other_at))
 
     def close(self) -> None:
         pass
 
 
-def gated(claims: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
+def gated(claims: DataFrame, ttl_seconds: int = 3600, keep_days: int | None = None) -> DataFrame:
     """(fp, post_uri, passes): whether another author has made the claim within the time before it, with state by fingerprint.
 
-    Time is the claims' own, so a stream gives what lifecycle.second_authors gives of the same claims in order.
+    Time is the claims' own, so a stream gives what lifecycle.second_authors gives of the same claims in order. With
+    ``keep_days``, fingerprints that nothing was heard of for so long are forgotten; see versioned.
     """
     rows = claims.where("ts IS NOT NULL").select("fp", "author", F.unix_micros("ts").alias("at"), "post_uri")
-    return rows.groupBy("fp").transformWithStateInPandas(_SecondAuthor(ttl_seconds * 1_000_000), "fp string, post_uri string, passes boolean", "Append", "none")
+    state = _SecondAuthor(ttl_seconds * 1_000_000, _days(keep_days))
+    return rows.groupBy("fp").transformWithStateInPandas(state, "fp string, post_uri string, passes boolean", "Append", _clock(keep_days))

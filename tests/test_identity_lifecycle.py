@@ -90,3 +90,24 @@ def test_expiry_and_budgets(spark):
     dec = spark.createDataFrame([("r", "2023-11-01"), ("r", "2023-11-02"), ("q", "2023-11-02"), ("r", "2023-01-01")], "rule_id string, t string").select("rule_id", F.col("t").cast("timestamp").alias("ts"))
     got = lifecycle.budget_counts(dec, spark.createDataFrame([("r", 1)], "rule_id string, budget long"), "2023-10-01")
     assert {(r.rule_id, r.n, r.exceeded) for r in got.collect()} == {("r", 2, True), ("q", 1, False)}
+
+
+def test_fields_reduced_in_order_of_arrival(spark):
+    cols = "row_no long, did string, time_us long, has_handle boolean, handle string, has_active boolean, active boolean, observed_at string"
+    rows = [
+        (1, "a", 10, True, "x", False, None, "2023-01-03"), (2, "a", 5, True, "old", True, False, "2023-01-01"), (3, "a", 10, False, None, True, None, "2023-01-02"), (4, "a", 20, True, None, False, None, "2023-01-04"),
+        (5, "b", 7, False, None, False, None, "2023-01-01"), (6, "c", 9, True, "c1", True, False, "2023-01-01"), (7, "c", 9, True, "c2", True, True, "2023-01-01"), (8, None, 1, True, "z", False, None, "2023-01-01"), (9, "d", None, True, "z", True, False, "2023-01-05"),
+    ]
+    df = spark.createDataFrame(rows, cols).withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    for hot in (10**6, 1):
+        got = {r.did: (r.handle, r.is_active, str(r.first_seen_at)[:10], str(r.last_seen_at)[:10], r.last_time_us, r.events) for r in identity.reduced(df, hot).collect()}
+        assert got == {"a": (None, False, "2023-01-01", "2023-01-04", 20, 4), "b": (None, True, "2023-01-01", "2023-01-01", 7, 1), "c": ("c2", True, "2023-01-01", "2023-01-01", 9, 2), "d": (None, True, "2023-01-05", "2023-01-05", None, 1)}
+    assert identity.reduced(df.limit(0)).count() == 0
+
+
+def test_families_hold_under_shifts(spark):
+    e = lambda *rows: spark.createDataFrame(rows, "family string, bucket int, delta_pp double, clears boolean")
+    base = e(("f", 1, 9.0, True), ("f", 2, 7.0, True), ("g", 1, -9.0, True), ("g", 2, -7.0, True), ("h", 1, 9.0, True))
+    effects = {"base": base, "s1": base, "s2": base, "s3": base.where("family = 'f'"), "fresh": base, "both": e(("f", 1, 3.0, False), ("g", 1, 3.0, False))}
+    got = {r.family: (r.buckets, r.shifts, r.fresh, r.with_both, r.holds) for r in identity.admissible_families(effects, ["s1", "s2", "s3"]).collect()}
+    assert got == {"f": (2, 3, True, True, True), "g": (2, 2, True, False, False)}

@@ -55,3 +55,19 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {r.kind: r.n for r in hours.collect()} == {"post": 5, "repost": 1}
     gate = drained(spark, ingest.gated(ingest.claims_of(ingest.commits(ingest.messages(spark, str(folder), 1)))), tmp_path, "gate")
     assert gate.count() == ingest.claims_of(ingest.commits(raw)).count()
+
+
+def test_messages_are_written_once(spark, tmp_path):
+    """Batches hold events, claims, edges and identity; a batch that is run again overwrites itself, one that isn't done doesn't count."""
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    for k in range(2):
+        (folder / f"{k}.txt").write_text("\n".join(MESSAGES[k * 6 : k * 6 + 6] if k == 0 else MESSAGES[6:]))
+    ingest.ingest(ingest.messages(spark, str(folder), 1), out).trigger(availableNow=True).start().awaitTermination()
+    raw = spark.createDataFrame([(m,) for m in MESSAGES], "value string")
+    want = {"events": ingest.commits(raw), "claims": ingest.claims_of(ingest.commits(raw)), "edges": ingest.edges_of(ingest.commits(raw)), "identity": ingest.identity_changes(raw)}
+    for name, df in want.items():
+        assert ingest.read_ingested(spark, out, name).count() == df.count() > 0
+    ingest.stored_batch(out)(raw.limit(6), 0)
+    ingest.commits(raw).write.parquet(f"{out}/events/batch=99")
+    assert ingest.read_ingested(spark, out, "events").count() == want["events"].count()
