@@ -49,21 +49,22 @@ def _normal(text: Column) -> Column:
 
 
 def holding(haystacks: DataFrame, needles: DataFrame, group: list[str]) -> DataFrame:
-    """(uri, *group, key): each haystack (uri, *group, text) with the needles (*group, key) of its group that its text holds.
+    """(uri, ts, *group, key): each haystack (uri, ts, *group, text) with the needles (*group, key) of its group that its text holds; stored.
 
     A needle is met by its first GRAM characters, looked up among those of the haystacks, so only texts that have these in common
-    are compared. Shorter needles, distinct strings of a few characters, are compared with the texts of their group.
+    are compared. Shorter needles, distinct strings of a few characters, are compared with the texts of their group. Haystacks of
+    groups without a needle should be left out before. The two ways are stored one after the other, as each plan holds the driver's memory.
     """
+    columns = ["uri", "ts", *group, "key"]
     needles = needles.select(*group, "key").distinct().withColumn("g", F.xxhash64(*group))
     long = needles.where(F.length("key") >= GRAM).withColumn("gram", F.xxhash64(F.substring("key", 1, GRAM)))
-    hay = haystacks.select("uri", *group, "text").withColumn("g", F.xxhash64(*group))
-    hay = hay.join(needles.select("g").distinct(), "g", "left_semi")
+    hay = haystacks.select("uri", "ts", *group, "text").withColumn("g", F.xxhash64(*group))
     places = F.when(F.length("text") >= GRAM, F.sequence(F.lit(1), F.length("text") - (GRAM - 1)))
     grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("text", i, F.lit(GRAM)))))
     met = hay.select("uri", "g", F.explode(grams).alias("gram")).join(long, ["g", "gram"]).select("uri", *group, "key")
-    found = met.join(hay.drop("g"), ["uri", *group]).where(F.contains("text", "key")).select("uri", *group, "key")
-    short = hay.join(needles.where(F.length("key") < GRAM), ["g", *group]).where(F.contains("text", "key"))
-    return found.unionByName(short.select("uri", *group, "key"))
+    found = stored(met.join(hay.drop("g"), ["uri", *group]).where(F.contains("text", "key")).select(*columns))
+    short = stored(hay.join(needles.where(F.length("key") < GRAM), ["g", *group]).where(F.contains("text", "key")).select(*columns))
+    return found.unionByName(short)
 
 
 def latest_match(posts: DataFrame, priors: DataFrame, group: list[str], before: bool = False) -> DataFrame:
@@ -92,11 +93,11 @@ def comparable_keys(posts: DataFrame, priors: DataFrame, group: list[str]) -> tu
     kept = lambda way: F.concat(F.lit(way), F.col("key")).alias("key")
     words = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 4)
     needles = q.select("uri", "ts", *group, F.explode(F.array_union(words, F.array("text"))).alias("key"))
-    forth = holding(p, needles, group).join(p.select("uri", *group, "ts"), ["uri", *group])
+    forth = holding(p, needles, group)
     inner = F.split("text", r"\s+")
     covered = F.exists(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: F.length(w) > 4)
     bare = p.where(~covered).withColumnRenamed("text", "key")
-    back = holding(q, bare, group).join(q.select("uri", *group, "ts"), ["uri", *group])
+    back = holding(stored(q.join(bare.select(*group).distinct(), group, "left_semi")), bare, group)
     columns = ["uri", "ts", *group]
     return (
         forth.select(*columns, kept("<")).unionByName(bare.select(*columns, kept(">"))),
@@ -123,7 +124,8 @@ def provenance_laundering(posts: DataFrame, history: DataFrame | None = None) ->
     without, with_ = rows.where("NOT attributed"), rows.where("attributed")
     # only where an author has both in a thread is there anything to compare
     group = ["root", "author"]
-    found = matched(without.join(with_.select(*group).distinct(), group, "left_semi"), with_.join(without.select(*group).distinct(), group, "left_semi"), group, False)
+    both = stored(without.join(with_.select(*group).distinct(), group, "left_semi")), stored(with_.join(without.select(*group).distinct(), group, "left_semi"))
+    found = matched(*both, group, False)
     out = _label(found, "provenance_laundering", F.col("prior"))
     if history is not None:
         rest = without.join(found.select("uri"), "uri", "left_anti")

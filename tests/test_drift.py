@@ -69,6 +69,22 @@ def test_latest_comparable_equals_a_backward_scan(spark):
         assert got == want and len(want) > 100
 
 
+def joins_of_plans(monkeypatch, rows):
+    """The joins of each plan that runs on the way to the rows, and those of the last."""
+    joins, kept = [], drift.stored
+    count = lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or df
+    monkeypatch.setattr(drift, "stored", lambda df: kept(count(df)))
+    count(rows())
+    return joins
+
+
+def test_no_plan_of_all_rules_has_many_joins(spark, monkeypatch):
+    """A plan is optimised anew, as a whole, whenever one of its stages ends, so the driver's memory grows with its joins."""
+    p = posts(spark, THREAD)
+    joins = joins_of_plans(monkeypatch, lambda: drift.all_rules(p, p))
+    assert len(joins) > 5 and max(joins) <= 3
+
+
 def test_hot_keys_in_slices_give_the_same(spark):
     rng = random.Random(2)
     rows = [(i, "hot" if i % 3 else f"k{i % 5}", rng.randrange(900), rng.choice("abc")) for i in range(1500)]
