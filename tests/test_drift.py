@@ -85,6 +85,17 @@ def test_no_plan_of_all_rules_has_many_joins(spark, monkeypatch):
     assert len(joins) > 5 and max(joins) <= 3
 
 
+def test_no_plan_of_laundering_has_many_joins(spark, monkeypatch):
+    """Threads and history alike: the second post of a claim is found by its author's history, the other in the thread."""
+    rows = [("h1", "ann", "h1", "2025-01-01 10:00:00", "According to X the dam broke"), ("h2", "ann", "h2", "2025-01-02 10:00:00", "the dam broke"),
+        ("t1", "bob", "t", "2025-01-01 10:00:00", "According to Y rivers rose"), ("t2", "bob", "t", "2025-01-01 09:00:00", "rivers rose")]
+    p = posts(spark, rows).withColumn("fp", F.col("author"))
+    found = []
+    joins = joins_of_plans(monkeypatch, lambda: found.append(drift.provenance_laundering(p, p)) or found[0])
+    assert len(joins) > 5 and max(joins) <= 3
+    assert sorted((r.subject_uri, r.prior_uri) for r in found[0].collect()) == [("h2", "h1"), ("t2", "t1")]
+
+
 def test_hot_keys_in_slices_give_the_same(spark):
     rng = random.Random(2)
     rows = [(i, "hot" if i % 3 else f"k{i % 5}", rng.randrange(900), rng.choice("abc")) for i in range(1500)]
