@@ -54,6 +54,7 @@ def holding(haystacks: DataFrame, needles: DataFrame, group: list[str]) -> DataF
     A needle is met by its first GRAM characters, looked up among those of the haystacks, so only texts that have these in common
     are compared. Shorter needles, distinct strings of a few characters, are compared with the texts of their group. Haystacks of
     groups without a needle should be left out before. The two ways are stored one after the other, as each plan holds the driver's memory.
+    Grams are merged: Spark takes exploded rows to be as few as before, and would broadcast any number of them through the driver.
     """
     columns = ["uri", "ts", *group, "key"]
     needles = needles.select(*group, "key").distinct().withColumn("g", F.xxhash64(*group))
@@ -61,7 +62,7 @@ def holding(haystacks: DataFrame, needles: DataFrame, group: list[str]) -> DataF
     hay = haystacks.select("uri", "ts", *group, "text").withColumn("g", F.xxhash64(*group))
     places = F.when(F.length("text") >= GRAM, F.sequence(F.lit(1), F.length("text") - (GRAM - 1)))
     grams = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("text", i, F.lit(GRAM)))))
-    met = hay.select("uri", "g", F.explode(grams).alias("gram")).join(long, ["g", "gram"]).select("uri", *group, "key")
+    met = hay.select("uri", "g", F.explode(grams).alias("gram")).join(long.hint("merge"), ["g", "gram"]).select("uri", *group, "key")
     found = stored(met.join(hay.drop("g"), ["uri", *group]).where(F.contains("text", "key")).select(*columns))
     short = stored(hay.join(needles.where(F.length("key") < GRAM), ["g", *group]).where(F.contains("text", "key")).select(*columns))
     return found.unionByName(short)
@@ -71,7 +72,7 @@ def latest_match(posts: DataFrame, priors: DataFrame, group: list[str], before:
     """(uri, prior): of each post the latest other prior of its group with which it has a key in common; with ``before``, an earlier one.
 
     Both are (uri, ts, *group, key). Of a key only its two latest priors matter, or with ``before`` the last before each post, so
-    the pairs of a group are never made. Ties of time go by uri.
+    the pairs of a group are never made. Ties of time go by uri. Keys are exploded rows, so they are merged as in holding.
     """
     keys = [*group, "key"]
     if before:
@@ -79,7 +80,7 @@ def latest_match(posts: DataFrame, priors: DataFrame, group: list[str], before:
         return met.groupBy("uri").agg(F.max("prior").alias("p")).select("uri", F.col("p.uri").alias("prior"))
     order = Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("uri"))
     two = priors.select(*keys, "ts", "uri").distinct().withColumn("r", F.row_number().over(order)).where("r <= 2")
-    met = posts.select(*keys, "uri").join(two.select(*keys, F.struct("ts", F.col("uri").alias("prior")).alias("p")), keys).where("p.prior <> uri")
+    met = posts.select(*keys, "uri").join(two.select(*keys, F.struct("ts", F.col("uri").alias("prior")).alias("p")).hint("merge"), keys).where("p.prior <> uri")
     return met.groupBy("uri").agg(F.max("p").alias("p")).select("uri", "p.prior")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -96,6 +97,29 @@ def test_no_plan_of_laundering_has_many_joins(spark, monkeypatch):
     assert sorted((r.subject_uri, r.prior_uri) for r in found[0].collect()) == [("h2", "h1"), ("t2", "t1")]
 
 
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Few texts become many grams or keys, whose number Spark doesn't foresee when it chooses what goes through the driver."""
+    few = [(f"u{i}", "g", f"2025-01-0{i + 1}", "the dam broke " * 20) for i in range(3)]
+    many = [(f"v{i}", "g", "2025-01-01", f"word{i}" * 9) for i in range(3000)] + [("v", "g", "2025-01-01", "dam broke")]
+    for name, rows in (("few", few), ("many", many)):
+        spark.createDataFrame(rows, "uri string, author string, ts string, text string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/{name}")
+    few, many = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("few", "many"))
+    plans, kept = [], drift.stored
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(drift, "stored", lambda df: kept(plan(df)))
+    held = plan(drift.holding(few, many.withColumnRenamed("text", "key"), ["author"]))
+    words = few.select("uri", "ts", "author", F.explode(F.split("text", " ")).alias("key"))
+    met = plan(drift.latest_match(many.withColumn("key", F.lit("dam")), words, ["author"]))
+    assert {(r.uri, r.key) for r in held.collect()} == {(f"u{i}", "dam broke") for i in range(3)}
+    assert met.count() == 3001 and {r.prior for r in met.select("prior").distinct().collect()} == {"u2"}
+    for lines in map(str.splitlines, plans):
+        depth = [re.search(r"[A-Z*]", x).start() if re.search(r"[A-Z*]", x) else 0 for x in lines]
+        for i, x in enumerate(lines):
+            if "BroadcastExchange" in x:
+                below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+                assert not any("Generate" in y for y in lines[i:below])
+
+
 def test_hot_keys_in_slices_give_the_same(spark):
     rng = random.Random(2)
     rows = [(i, "hot" if i % 3 else f"k{i % 5}", rng.randrange(900), rng.choice("abc")) for i in range(1500)]
